@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basetrack.llm import chat, exact_dedup, mixing, packing, repetition, url_reputation, warc
+from basetrack.llm import chat, exact_dedup, mixing, ngram_join, packing, repetition, url_reputation, warc
 from basetrack.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "set_id", "n_class_links")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -46,7 +51,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op3_warc, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_repetition, op2_ngram_join, op3_warc, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
