@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basetrack.llm import chat, exact_dedup, mixing, ngram_join, packing, repetition, url_reputation, warc
+from basetrack.llm import chat, exact_dedup, mixing, ngram_join, packing, repetition, toxicity, url_reputation, warc
 from basetrack.llm.common import table
 
 
@@ -23,6 +24,13 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(~toxicity.held_out(labels["doc_id"])))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_ngram_join, op3_warc, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_repetition, op2_ngram_join, op3_warc, op4_toxicity, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
