@@ -50,6 +50,7 @@ class Net:
     #: Words that aren't marked for each marked one, in the words' training.
     word_balance: int = 8
     rounds: int = 3
+    least_steps: int = 24
     batch: int = 256
     rate: float = 0.01
     seed: int = 11
@@ -394,7 +395,7 @@ def train(texts: list[str], labels: list[int], net: Net) -> dict[str, np.ndarray
             positive = np.flatnonzero((target == 1) & (logit >= top[row]))
         hard = clean[np.argsort(-logit[clean], kind="stable")[: len(positive)]]
         chosen = np.concatenate([positive, np.union1d(hard, g.choice(clean, min(2 * len(positive), len(clean)), replace=False))])
-        for _ in range(2):
+        for _ in range(max(2, net.least_steps * net.batch // len(chosen))):
             g.shuffle(chosen)
             for i in range(0, len(chosen), net.batch):
                 part = chosen[i : i + net.batch]
