@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basetrack.llm import chat, exact_dedup, mixing, ngram_join, packing, repetition, toxicity, url_reputation, warc
+from basetrack.llm import chat, exact_dedup, kneser_ney, mixing, ngram_join, packing, repetition, toxicity, url_reputation, warc
 from basetrack.llm.common import table
 
 
@@ -31,6 +31,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_windows")
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return kneser_ney.perplexity_filter(table(spark, sf_dir, "documents"), trusted)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,7 +64,7 @@ def op10_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_repetition, op2_ngram_join, op3_warc, op4_toxicity, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
+    return {f.__name__: f for f in (op1_repetition, op2_ngram_join, op3_warc, op4_toxicity, op5_kneser_ney, op6_exact_dedup, op7_mixing, op8_chat, op9_packing, op10_url_reputation)}
 
 
 def oracle_sql() -> dict[str, str]:
