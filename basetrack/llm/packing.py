@@ -1,6 +1,6 @@
 """Bulk-synchronous best-fit packing of tokenised documents into sequences.
 
-1. tokenise: a text is cut before each single space between ink, where the pre-tokeniser always cuts; distinct cuts
+1. tokenise: a text is cut where the pre-tokeniser always cuts (see ``cuts``); distinct cuts
    are encoded once a task and the ids of whole texts gathered from them.  Texts longer than a sequence are cut into pieces.
 2. range-sort: pieces are range-partitioned by length, longest first (ties by document, so that no length is one task's
    burden), and each gets its rank within its partition and length.  Partition counts give its rank among all of its length.
@@ -19,6 +19,7 @@ are passed over.
 from __future__ import annotations
 
 import bisect
+import itertools
 import os
 import zlib
 from collections import defaultdict
@@ -46,6 +47,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[[*range(33, 48), *range(58, 65), *range(91, 97), 123, 125, 126]] = True  # not |, which ends added tokens
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where the texts may be cut: the pre-tokeniser cuts there too, and each side alone gives the same ids.
+
+    Before a single space between ink; before an ASCII mark after an ASCII letter; before a line break after ink; after a
+    single line break before an ASCII letter.
+    """
+    n = len(data)
+    ink = ~tx._SPACE[data]
+    cut = np.zeros(n + 1, bool)
+    if n > 2:
+        cut[1 : n - 1] = (data[1:-1] == 0x20) & ink[:-2] & ink[2:]
+        line = data == 0x0A
+        cut[1:n] |= (_MARK[data[1:]] & _LETTER[data[:-1]]) | (line[1:] & ink[:-1])
+        cut[2:n] |= _LETTER[data[2:]] & line[1:-1] & ink[:-2]
+    cut[bounds] = True
+    return np.flatnonzero(cut[:-1]) if n else np.zeros(0, np.int64)
+
+
 class Encoder:
     """Ids of texts, a distinct cut encoded once."""
 
@@ -57,9 +82,19 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.place: dict[int, int] = {}
-        self.table, self.begin, self.count = [], [], []
-        self.held = 0
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by key
+        self.table = np.zeros(0, np.uint32)
+
+    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+        found: list[list[int]] = []
+        for lo in range(0, len(texts), 16384):
+            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 16384], add_special_tokens=False)]
+        count = np.fromiter(map(len, found), np.int64, len(found))
+        new = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
+        begin = len(self.table) + np.cumsum(count) - count
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
+        self.table = np.concatenate([self.table, new])
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts one after another, and how many each text has."""
@@ -67,36 +102,26 @@ class Encoder:
         n = len(data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
-        ink = ~tx._SPACE[data]
-        cut = np.zeros(n + 1, bool)
-        cut[1 : n - 1] = (data[1:-1] == 0x20) & ink[:-2] & ink[2:] if n > 2 else False
-        cut[bounds] = True
-        starts = np.flatnonzero(cut[:-1])
+        starts = cuts(data, bounds)
         ends = np.append(starts[1:], n)
         hashes = tx.mix(tx.span_hashes(tx._BYTE[data], tx._B, starts, ends) + (ends - starts).astype(np.uint64))
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.place) > REMEMBERED:
+        if len(self.keys) > REMEMBERED:
             self._forget()
-        keys = distinct.tolist()
-        fresh = [i for i, k in enumerate(keys) if k not in self.place]
-        whole = data.tobytes()
-        for lo in range(0, len(fresh), 16384):
-            part = fresh[lo : lo + 16384]
-            texts = [whole[starts[first[i]] : ends[first[i]]].decode() for i in part]
-            for i, e in zip(part, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                self.place[keys[i]] = len(self.begin)
-                self.begin.append(self.held)
-                self.count.append(len(e.ids))
-                self.table.append(np.array(e.ids, np.uint32))
-                self.held += len(e.ids)
-        if len(self.table) > 1:
-            self.table = [np.concatenate(self.table)]
-        at = np.fromiter(map(self.place.__getitem__, keys), np.int64, len(keys))[which]
-        begin, count = np.asarray(self.begin)[at], np.asarray(self.count)[at]
+        at = np.searchsorted(self.keys, distinct)
+        fresh = np.ones(len(distinct), bool)
+        inside = at < len(self.keys)
+        fresh[inside] = self.keys[at[inside]] != distinct[inside]
+        if fresh.any():
+            whole = data.tobytes()
+            own = first[fresh]
+            self._learn(distinct[fresh], [whole[lo:hi].decode() for lo, hi in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+        at = np.searchsorted(self.keys, distinct)[which]
+        begin, count = self.begin[at], self.count[at]
         where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         total = np.concatenate([[0], np.cumsum(count)])
-        cuts = np.searchsorted(starts, bounds)
-        return self.table[0][where], total[cuts[1:]] - total[cuts[:-1]]
+        edges = np.searchsorted(starts, bounds)
+        return self.table[where], total[edges[1:]] - total[edges[:-1]]
 
 
 def piece_starts(length: int, capacity: int = CAPACITY) -> list[int]:
