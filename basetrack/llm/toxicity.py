@@ -446,7 +446,7 @@ def fit(docs: DataFrame, labels: DataFrame, net: Net = Net()) -> dict[str, np.nd
 
 
 def score(docs: DataFrame, model: dict | float, net: Net = Net(), keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score and n_windows of every row, with the columns in ``keep``."""
+    """doc_id, the columns in ``keep``, score and n_windows of every row (toxicity_score where ``keep`` has a score)."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # the network's size is fixed
@@ -463,12 +463,14 @@ def score(docs: DataFrame, model: dict | float, net: Net = Net(), keep: tuple[st
                 top = np.full(n, -30.0, np.float32)
                 np.maximum.at(top, s["row"], scorer.logits(s))
                 value, count = _sigmoid(top.astype(np.float64) - p["shift"][0]), np.bincount(s["row"], minlength=n)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names), pa.array(value, pa.float64()), pa.array(count, pa.int64())], names=[*part.schema.names, "score", "n_windows"])
-
-    columns = {"doc_id": docs["doc_id"].cast("long").alias("doc_id")} | {c: docs[c] for c in keep}
-    inner = docs.select(*columns.values(), *(() if "text" in columns else (docs["text"].alias("text"),)))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema), "score double", "n_windows long"])
-    return inner.mapInArrow(run, schema).select(*columns, "score", "n_windows")
+            names = part.schema.names[1:]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(value, pa.float64()), pa.array(count, pa.int64())], names=[*names, "score", "n_windows"])
+
+    carried = {"doc_id": docs["doc_id"].cast("long")} | {c: docs[c] for c in keep}
+    inner = docs.select(docs["text"].alias("text"), *(x.alias(f"k{i}") for i, x in enumerate(carried.values())))
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema.fields[1:]), "score double", "n_windows long"])
+    out = inner.mapInArrow(run, schema)
+    return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(carried)), *(F.col(c).alias(c if c not in carried else f"toxicity_{c}") for c in ("score", "n_windows")))
 
 
 def held_out(doc_id):
