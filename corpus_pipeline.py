@@ -22,7 +22,8 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(table(spark, sf_dir, "documents"), labels.where(~toxicity.held_out(labels["doc_id"])))
     others = tuple(c for c in docs.columns if c != "doc_id")
-    return toxicity.score(docs, model, keep=others).where("score < 0.5").select(*docs.columns)
+    score = "toxicity_score" if "score" in others else "score"
+    return toxicity.score(docs, model, keep=others).where(f"{score} < 0.5").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
