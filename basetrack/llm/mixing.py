@@ -9,7 +9,8 @@ before the budget's end: a source needs only its threshold block, whatever its s
 handled by all tasks, and texts are not shuffled.
 
 Edge cases: a null source is a source; a text without words has no tokens and comes in every whole epoch, and in the last one by its
-place; a source without tokens has one epoch; repeated rows are rows; an empty table gives an empty result; other columns stay.
+place; a source without tokens has one epoch; repeated rows are rows; an empty table gives an empty result; other columns stay, but
+for those whose names begin with mix_, which are the operator's own.
 """
 
 from __future__ import annotations
@@ -106,27 +107,27 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix(), folder: str | None = None) ->
     sources = materialise(source_table(keyed.select(F.col("mix_key").alias("key"), F.col("mix_tokens").alias("tokens"))), folder, "sources")
     plan = materialise(plan_sources(sources, mix), folder, "plan")
     seed = F.lit(str(mix.seed))
-    brief = plan.select(F.col("key").alias("mix_key"), "blocks", "epochs", "rest", F.col("weight").alias("mix_weight"))
-    block = F.conv(F.substring(F.md5(F.concat_ws("|", seed, doc)), 16, 12), 16, 10).cast("long") % F.col("blocks")
+    brief = plan.select(F.col("key").alias("mix_key"), *(F.col(c).alias(f"mix_{c}") for c in ("blocks", "epochs", "rest", "weight")))
+    block = F.conv(F.substring(F.md5(F.concat_ws("|", seed, doc)), 16, 12), 16, 10).cast("long") % F.col("mix_blocks")
 
     # the remainder's epoch: where in the order of blocks does each source's budget end?
-    slim = keyed.select("doc_id", "mix_key", "mix_tokens").join(brief, "mix_key").where("rest > 0").withColumn("mix_block", block)
-    order = _part(seed, F.col("epochs").cast("string"), F.col("mix_key"), F.col("mix_block").cast("string"))
-    blocks = slim.groupBy("mix_key", "mix_block", "epochs", "rest").agg(F.sum("mix_tokens").alias("t")).withColumn("o", order)
+    slim = keyed.select("doc_id", "mix_key", "mix_tokens").join(brief, "mix_key").where("mix_rest > 0").withColumn("mix_block", block)
+    order = _part(seed, F.col("mix_epochs").cast("string"), F.col("mix_key"), F.col("mix_block").cast("string"))
+    blocks = slim.groupBy("mix_key", "mix_block", "mix_epochs", "mix_rest").agg(F.sum("mix_tokens").alias("t")).withColumn("o", order)
     before = F.sum("t").over(Window.partitionBy("mix_key").orderBy("o", "mix_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
-    ends = blocks.withColumn("before", before).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
-    cut = materialise(ends.groupBy("mix_key").agg(F.max_by("o", "before").alias("cut"), F.max_by("mix_block", "before").alias("cut_block"), F.max("before").alias("cut_before")), folder, "cuts")
+    ends = blocks.withColumn("before", before).where((F.col("before") <= F.col("mix_rest")) & (F.col("before") + F.col("t") > F.col("mix_rest")))
+    cut = materialise(ends.groupBy("mix_key").agg(F.max_by("o", "before").alias("mix_cut"), F.max_by("mix_block", "before").alias("mix_cut_block"), F.max("before").alias("mix_cut_before")), folder, "cuts")
 
     rows = keyed.join(brief, "mix_key").join(cut, "mix_key", "left").withColumn("mix_block", block)
-    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("epochs") - 1 + F.when(F.col("rest") > 0, 1).otherwise(0), F.lit(0)))
-    each = rows.where("epochs > 0 or rest > 0").withColumn("mix_epoch", F.explode(epochs))
+    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("mix_epochs") - 1 + F.when(F.col("mix_rest") > 0, 1).otherwise(0), F.lit(0)))
+    each = rows.where("mix_epochs > 0 or mix_rest > 0").withColumn("mix_epoch", F.explode(epochs))
     each = each.withColumns({"mix_block_order": _part(seed, F.col("mix_epoch").cast("string"), F.col("mix_key"), F.col("mix_block").cast("string")), "mix_row_order": _part(seed, F.col("mix_epoch").cast("string"), doc)})
-    last = F.col("mix_epoch") == F.col("epochs")
-    earlier = F.col("cut").isNull() | (F.col("mix_block_order") < F.col("cut")) | ((F.col("mix_block_order") == F.col("cut")) & (F.col("mix_block") < F.col("cut_block")))
+    last = F.col("mix_epoch") == F.col("mix_epochs")
+    earlier = F.col("mix_cut").isNull() | (F.col("mix_block_order") < F.col("mix_cut")) | ((F.col("mix_block_order") == F.col("mix_cut")) & (F.col("mix_block") < F.col("mix_cut_block")))
     names = [*docs.columns, "mix_epoch", "mix_block", "mix_block_order", "mix_row_order", "mix_tokens", "mix_weight"]
     whole = each.where(~last | earlier).select(*names)
     # the block where a budget ends has about block_rows documents; they alone are sorted
-    bound = last & (F.col("mix_block") == F.col("cut_block"))
+    bound = last & (F.col("mix_block") == F.col("mix_cut_block"))
     running = F.sum("mix_tokens").over(Window.partitionBy("mix_key", "mix_block").orderBy("mix_row_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    partial = each.where(bound).withColumn("running", running).where(F.col("cut_before") + F.col("running") <= F.col("rest")).select(*names)
+    partial = each.where(bound).withColumn("mix_running", running).where(F.col("mix_cut_before") + F.col("mix_running") <= F.col("mix_rest")).select(*names)
     return whole.unionAll(partial)

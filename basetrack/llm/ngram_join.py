@@ -361,8 +361,8 @@ def first_of_groups(docs: DataFrame, rules: JoinRules = JoinRules(), folder: str
     name = F.struct("doc_id", "text_key")
     keeper = decided.groupBy("component").agg(F.min(name).alias("keeper"))
     losers = materialise(decided.join(keeper, "component").where(~name.eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("lost"), F.col("text_key").alias("lost_key")).distinct(), folder, "losers")
-    keyed = docs.withColumn("_key", F.xxhash64(docs["text"]))
-    kept = keyed.join(losers, keyed["doc_id"].cast("long").eqNullSafe(losers["lost"]) & (keyed["_key"] == losers["lost_key"]), "left_anti")
+    keyed = docs.withColumn("_basetrack_key", F.xxhash64(docs["text"]))
+    kept = keyed.join(losers, keyed["doc_id"].cast("long").eqNullSafe(losers["lost"]) & (keyed["_basetrack_key"] == losers["lost_key"]), "left_anti")
     if not decided.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_key"])
+        kept = kept.dropDuplicates(["doc_id", "_basetrack_key"])
     return kept.select(*docs.columns)

@@ -220,8 +220,10 @@ def test_best_fit_plan(counts):
 
 def test_mixing_budgets(spark, no_docs):
     rows = [(i, "w " * (1 + i % 7), "big" if i % 10 else "small") for i in range(4000)] + [(9000, None, None), (9001, "x y", None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    out = mixing.mix_sources(docs, mixing.Mix(max_repeats=3.0, block_rows=64)).collect()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as blocks", "'x' as rest", "2 as key", "3 as tokens")
+    mixed = mixing.mix_sources(docs, mixing.Mix(max_repeats=3.0, block_rows=64))
+    assert mixed.columns[:7] == docs.columns
+    out = mixed.collect()
     tokens = collections.Counter()
     times = collections.Counter()
     have = collections.Counter()
