@@ -209,7 +209,8 @@ def perplexity_filter(docs: DataFrame, trusted_ids: DataFrame, limits: Quantiles
     languages = spark.createDataFrame(list(enumerate(names)), "lang_id int, lang string")
     known = rows.join(F.broadcast(languages).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).drop("l")
     trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("trusted")).where("trusted is not null").distinct()
-    counts = materialise(count_ngrams(known.join(trusted, F.col("doc_id") == F.col("trusted"), "left_semi").select("lang_id", "text")), folder, "counts")
+    # one plan at every size: texts go to their ids once, however few the trusted ids are
+    counts = materialise(count_ngrams(known.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted"), "left_semi").select("lang_id", "text")), folder, "counts")
     place = write_shards(model(counts, folder), folder)
     scored = materialise(score(known, place), folder, "scored")
     own = scored.join(trusted, F.col("doc_id") == F.col("trusted"), "left_semi").where("n_bytes > 0")
