@@ -189,12 +189,51 @@ def window_missing_chrom(t: Tables) -> DataFrame:
 
 @query("SELECT window_id, track_id AS channel, list(pos - start ORDER BY pos)::VARCHAR AS offsets FROM win4 win JOIN sig ON win.chrom = sig.chrom AND pos >= start AND pos < stop GROUP BY ALL")
 def points_in_windows(t: Tables) -> DataFrame:
+    return _points(t, SHORT)
+
+
+def _points(t: Tables, width: int) -> DataFrame:
     points = t.signal.select("chrom", F.col("start").alias("pos"), "track_id")
-    found = overlap.points_in_windows(t.windows(SHORT), points, TILE)
+    found = overlap.points_in_windows(t.windows(width), points, TILE)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("pos") - F.col("start"))), lambda x: x.cast("string")), ", ")
     return found.groupBy("window_id", F.col("track_id").alias("channel")).agg(F.concat(F.lit("["), text, F.lit("]")).alias("offsets"))
 
 
+# The reads above over whole windows and all channels.  Their rows are too many for the SQL; the tests hold them against brute force.
+
+
+@query()
+def label_sums_wide(t: Tables) -> DataFrame:
+    return read.label_sums(t.windows(), t.signal, t.chroms, t.labels, WIDTH, tile=TILE)
+
+
+@query()
+def window_read_dense_wide(t: Tables) -> DataFrame:
+    return read.read_dense(t.windows(), t.signal, t.chroms, t.channels, WIDTH, tile=TILE)
+
+
+@query()
+def window_read_sparse_wide(t: Tables) -> DataFrame:
+    return read.read_sparse(t.windows(), t.signal, t.chroms, t.channels, TILE)
+
+
+@query()
+def window_read_oob_wide(t: Tables) -> DataFrame:
+    """As window_read_oob."""
+    return read.read_dense(t.windows(), t.signal, t.chroms.withColumn("length", F.lit(1000).cast("long")), t.channels, WIDTH, -1.0, -2.0, tile=TILE)
+
+
+@query()
+def window_missing_chrom_wide(t: Tables) -> DataFrame:
+    """As window_missing_chrom."""
+    return read.read_dense(t.windows(), t.signal, t.chroms.where("chrom <> 'R'"), t.channels, WIDTH, -1.0, None, tile=TILE)
+
+
+@query()
+def points_in_windows_wide(t: Tables) -> DataFrame:
+    return _points(t, WIDTH)
+
+
 @query("SELECT (CASE chrom WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END)::INT AS chrom_id, pos AS position, track_id, value FROM sig")
 def entries_scan(t: Tables) -> DataFrame:
     ids = F.when(F.col("chrom") == "A", 0).when(F.col("chrom") == "N", 1).otherwise(2)
@@ -233,7 +272,17 @@ def grid_zoom_stats(t: Tables) -> DataFrame:
 
 @query()
 def greedy_zoom_records(t: Tables) -> DataFrame:
-    return summary.greedy_zoom(t.signal.where("track_id = 1"), 40)
+    return summary.greedy_zoom(t.signal, 40, ("chrom", "track_id"))
+
+
+@query("SELECT track_id, count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig GROUP BY ALL")
+def bigwig_summary_tracks(t: Tables) -> DataFrame:
+    return summary.interval_total(t.signal, ("track_id",))
+
+
+@query("SELECT chrom, track_id, (pos // 40)::BIGINT AS bin, count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig GROUP BY ALL")
+def grid_zoom_stats_tracks(t: Tables) -> DataFrame:
+    return summary.grid_zoom(t.signal, 40, ("chrom", "track_id"))
 
 
 @query("SELECT track_id, CASE WHEN max(value) <= 255 THEN 'uint8' WHEN max(value) <= 65535 THEN 'uint16' ELSE 'uint32' END AS dtype FROM sig GROUP BY ALL")

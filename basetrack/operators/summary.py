@@ -12,7 +12,7 @@ from basetrack.operators.overlap import split_at_tiles
 from basetrack.schema import DTYPES, TILE
 
 MOST_LEVELS = 12
-RECORDS = "chrom string, start long, end long, bases long, least double, most double, total double, squares double"
+RECORDS = "start long, end long, bases long, least double, most double, total double, squares double"
 
 
 def tile_sums(signal: DataFrame, tile: int = TILE) -> DataFrame:
@@ -56,11 +56,11 @@ def out_of_range(signal: DataFrame, tracks: DataFrame) -> DataFrame:
     return joined.where(bad)
 
 
-def interval_total(signal: DataFrame) -> DataFrame:
-    """One row: bases, least, most, total and squares of an interval track; products are rounded to float32 before they are summed."""
+def interval_total(signal: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row (or one for each of ``keys``): bases, least, most, total and squares; products are rounded to float32 before they are summed."""
     bases, value = F.col("end") - F.col("start"), F.col("value").cast("float")
     product = (bases.cast("float") * value).cast("float").cast("double")
-    return signal.agg(F.sum(bases).alias("bases"), F.min(value.cast("double")).alias("least"), F.max(value.cast("double")).alias("most"), F.sum(product).alias("total"), F.sum((bases * value.cast("double") * value.cast("double"))).alias("squares"))
+    return signal.groupBy(*keys).agg(F.sum(bases).alias("bases"), F.min(value.cast("double")).alias("least"), F.max(value.cast("double")).alias("most"), F.sum(product).alias("total"), F.sum((bases * value.cast("double") * value.cast("double"))).alias("squares"))
 
 
 def zoom_sizes(mean_width: float, longest: int, most: int = 10) -> list[int]:
@@ -72,36 +72,39 @@ def zoom_sizes(mean_width: float, longest: int, most: int = 10) -> list[int]:
     return out
 
 
-def grid_zoom(signal: DataFrame, size: int) -> DataFrame:
-    """(chrom, bin, bases, least, most, total, squares) over fixed bins of ``size`` bases."""
+def grid_zoom(signal: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    """(keys, bin, bases, least, most, total, squares) over fixed bins of ``size`` bases."""
     cut = split_at_tiles(signal, size)
     bases, value = F.col("end") - F.col("start"), F.col("value")
-    return cut.groupBy("chrom", F.col("tile").alias("bin")).agg(F.sum(bases).alias("bases"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value * bases).alias("total"), F.sum(value * value * bases).alias("squares"))
+    return cut.groupBy(*keys, F.col("tile").alias("bin")).agg(F.sum(bases).alias("bases"), F.min(value).alias("least"), F.max(value).alias("most"), F.sum(value * bases).alias("total"), F.sum(value * value * bases).alias("squares"))
 
 
-def greedy_zoom(signal: DataFrame, size: int) -> DataFrame:
+def greedy_zoom(signal: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Records that absorb the intervals starting within ``size`` of their own start; order-dependent.
 
-    A chromosome's intervals are streamed in order; only the open record is in memory.
+    The intervals of each value of ``keys`` are streamed in order; only the open record is in memory.
     """
+    columns = [*keys, *(x.split()[0] for x in RECORDS.split(", "))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chrom, record, out = None, None, []
+        key, record, out = None, None, []
         for batch in batches:
-            for c, start, end, value in batch[["chrom", "start", "end", "value"]].itertuples(index=False):
-                if record is None or c != chrom or start >= record[1] + size:
+            for *k, start, end, value in batch.itertuples(index=False, name=None):
+                if record is None or k != key or start >= record[0] + size:
                     if record is not None:
-                        out.append(tuple(record))
-                    chrom, record = c, [c, start, end, 0, value, value, 0.0, 0.0]
+                        out.append((*key, *record))
+                    key, record = k, [start, end, 0, value, value, 0.0, 0.0]
                 n = end - start
-                record[2], record[3] = max(record[2], end), record[3] + n
-                record[4], record[5] = min(record[4], value), max(record[5], value)
-                record[6], record[7] = record[6] + n * value, record[7] + n * value * value
+                record[1], record[2] = max(record[1], end), record[2] + n
+                record[3], record[4] = min(record[3], value), max(record[4], value)
+                record[5], record[6] = record[5] + n * value, record[6] + n * value * value
             if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
+                yield pd.DataFrame(out, columns=columns)
                 out = []
         if record is not None:
-            out.append(tuple(record))
-        yield pd.DataFrame(out, columns=[x.split()[0] for x in RECORDS.split(", ")])
+            out.append((*key, *record))
+        yield pd.DataFrame(out, columns=columns)
 
-    return signal.select("chrom", "start", "end", "value").repartition("chrom").sortWithinPartitions("chrom", "start", "end", "value").mapInPandas(run, RECORDS)
+    own = signal.select(*keys, "start", "end", "value")
+    schema = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), RECORDS])
+    return own.repartition(*keys).sortWithinPartitions(*keys, "start", "end", "value").mapInPandas(run, schema)
