@@ -28,8 +28,10 @@ from basetrack.llm.common import materialise, shared_dir, ship
 
 ARCHIVE_BYTES = 64 << 20
 PIECE = 64 << 10
-#: Headers are small; a longer one isn't WARC.
+#: HTTP headers are small; a WARC header holds the url and may have any length.
 HEADER_BYTES = 64 << 10
+#: Rows read back are given on at so many characters of urls at least, or at 4,096 rows.
+URL_CHARS = 16 << 20
 MANIFEST = "path string, records long, bytes long"
 RECORDS = "page_id long, record_type string, refers_to long, target_uri string, payload_bytes long, payload_digest string, stored_bytes long"
 
@@ -77,14 +79,18 @@ class Members:
         self.left = z.unused_data + self.left
 
 
-def _take_header(pieces: Iterator[bytes], buffer: bytes, what: str) -> tuple[bytes, bytes]:
-    while b"\r\n\r\n" not in buffer:
+def _take_header(pieces: Iterator[bytes]) -> tuple[bytes, bytes]:
+    """The WARC header, of any length, and the bytes after it; each byte is searched about once."""
+    buffer, seen = bytearray(), 0
+    while (at := buffer.find(b"\r\n\r\n", seen)) < 0:
+        seen = max(len(buffer) - 3, 0)
         piece = next(pieces, None)
-        if piece is None or len(buffer) > HEADER_BYTES:
-            raise ValueError(f"no end of the {what} header")
+        if piece is None:
+            raise ValueError("no end of the WARC header")
         buffer += piece
-    head, _, rest = buffer.partition(b"\r\n\r\n")
-    return head, rest
+        if not buffer.startswith(b"WARC/"[: len(buffer)]):
+            raise ValueError(f"not a WARC record: {bytes(buffer[:40])!r}")
+    return bytes(buffer[:at]), bytes(buffer[at + 4 :])
 
 
 def _fields(head: bytes) -> tuple[str, dict[str, str]]:
@@ -101,7 +107,7 @@ def read_archive(stream: BinaryIO) -> Iterator[tuple]:
     """The records of an archive, in order, each verified; one piece of a record is in memory at a time."""
     members = Members(stream)
     while (pieces := members.next()) is not None:
-        head, rest = _take_header(pieces, b"", "WARC")
+        head, rest = _take_header(pieces)
         version, h = _fields(head)
         if version not in ("WARC/1.0", "WARC/1.1"):
             raise ValueError(f"not a WARC record: {version[:40]}")
@@ -203,14 +209,15 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
         for batch in batches:
             for path, records in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                rows, n = [], 0
+                rows, n, chars = [], 0, 0
                 with system.open_input_stream(path, compression=None) as stream:
                     for row in read_archive(stream):
                         rows.append(row)
                         n += 1
-                        if len(rows) >= 4096:
+                        chars += len(row[3] or "")
+                        if len(rows) >= 4096 or chars >= URL_CHARS:
                             yield give(rows)
-                            rows = []
+                            rows, chars = [], 0
                 if n != records:
                     raise ValueError(f"{path}: {n} records, the manifest has {records}")
                 if rows:

@@ -27,6 +27,12 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_long_urls(spark):
+    urls = {1: "data:," + "é%\r\n\r\n" * 700_000, 2: "http://a/?" + "q" * (64 << 10), 3: "http://b/", 4: "http://c/?" + "r" * (20 << 20)}
+    out = warc.round_trip(spark.createDataFrame([(i, url, "same" if i < 3 else f"text {i}", "x") for i, url in urls.items()], PAGES)).collect()
+    assert {r.page_id: r.target_uri for r in out} == urls and len(out) == 4
+
+
 def test_small_payloads_are_responses(spark):
     rows = [(1, "a", "same", ""), (2, "b", "same", "")]
     assert {r.record_type for r in warc.round_trip(spark.createDataFrame(rows, PAGES), 5).collect()} == {"response"}
