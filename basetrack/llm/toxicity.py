@@ -2,10 +2,11 @@
 
 A word's input is a hashed embedding joined to the two end states of a bidirectional gated network over its characters.
 A bidirectional gated network runs over a window of words; attention pools its states into one logit.  All overlapping windows of a
-text are scored; the text's score comes from its highest window.
+text are scored, one from each word on; the text's score comes from its highest window.
 
 Training is on a bounded sample of labelled rows (``sample`` texts of class 1 and a few times as many of class 0, by hash of the doc_id) on the driver.  A text's label says only
-that some window is toxic, so words are learnt first and then, turn by turn, the highest windows of toxic texts.
+that some window is toxic, so words are learnt first and then, turn by turn, the highest windows of toxic texts (of one window start
+in ``train_stride``); the threshold is set on all windows of the sample.
 
 Edge cases: a null or empty text has no window and gets the score of the least logit, near 0; words longer than a character window
 go in pieces, none is cut off; ties among windows need no order; repeated rows are scored each; labels null or of unknown documents are
@@ -15,7 +16,7 @@ left out; a doc_id with labels 0 and 1 counts as 1; without rows of both classes
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,9 @@ class Net:
     hidden: int = 8
     chars: int = 16  # characters in a piece of a word
     window: int = 32
-    stride: int = 16
+    #: Steps from window to window: of all texts that are scored, and of the sample when training picks its windows.
+    stride: int = 1
+    train_stride: int = 16
     #: The bound on the training sample: texts of class 1, of class 0 for each of these (they tell chance from meaning), characters of a text.
     sample: int = 300
     clean_times: int = 4
@@ -351,8 +354,9 @@ def train(texts: list[str], labels: list[int], net: Net) -> dict[str, np.ndarray
     if not 0 < y.sum() < len(y):
         raise ValueError("texts of one class only")
     p = start(net)
-    scorer = Scorer(p, net)
-    s = scorer.prepare(pa.array(texts, pa.string()))
+    column = pa.array(texts, pa.string())
+    scorer = Scorer(p, replace(net, stride=net.train_stride))
+    s = scorer.prepare(column)
     g = np.random.default_rng(net.seed + 1)
     row = s["row"]
     if not len(row):
@@ -406,8 +410,10 @@ def train(texts: list[str], labels: list[int], net: Net) -> dict[str, np.ndarray
                 weight = np.where(target[part] == 1, (len(chosen) - len(positive)) / len(positive), 1.0)
                 adam.update(loss_gradients(p, local.reshape(ids.shape), mask, distinct, target[part], weight, net, chars=False)[1], net.rate * (1 - turn / (net.rounds + 1)))
         logit = scorer.logits(s)
-    top = np.full(len(y), -30.0, np.float32)
-    np.maximum.at(top, row, logit)
+    top = np.full(len(y), -30.0, np.float32)  # over all windows, as texts are scored
+    for i in range(0, len(y), 64):
+        s = Scorer(p, net).prepare(column.slice(i, 64))
+        np.maximum.at(top, s["row"] + i, Scorer(p, net).logits(s))
     return p | {"shift": np.array([_threshold(top, y)], np.float32)}
 
 

@@ -168,3 +168,10 @@ def test_gradients_equal_differences():
         up[name].ravel()[k] += 1e-2
         down[name].ravel()[k] -= 1e-2
         assert abs((at(up)[0] - at(down)[0]) / 2e-2 - g[name].ravel()[k]) < 2e-3, name
+
+
+def test_every_window_is_scored():
+    first, length, row = toxicity.windows(np.array([0, 48, 58, 58, 158]), toxicity.Net())
+    assert [first[row == i].tolist() for i in range(4)] == [list(range(17)), [48], [], list(range(58, 127))]
+    assert [length[row == i].tolist() for i in range(4)] == [[32] * 17, [10], [], [32] * 69]
+
