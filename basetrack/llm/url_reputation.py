@@ -32,8 +32,17 @@ class Rule:
 
 #: The rules of the query: (verdict, host, path).
 RULES = (Rule("block", "net"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+#: Second labels under which names are registered, by country.
+_SECOND = {
+    "ar": "com edu gob gov int mil net org tur", "at": "ac co gv or", "au": "asn com edu gov id net org", "br": "art blog com eco edu gov mil net org", "cn": "ac com edu gov mil net org",
+    "co": "com edu gov net nom org", "ec": "com edu gob net org", "eg": "com edu gov net org", "es": "com edu gob nom org", "gr": "com edu gov net org", "hk": "com edu gov idv net org", "hu": "co org",
+    "id": "ac co go my net or sch web", "il": "ac co gov muni net org", "in": "ac co edu firm gen gov ind mil net nic org res", "jp": "ac ad co ed go gr lg ne or", "ke": "ac co go ne or", "kr": "ac co go ne or pe re",
+    "mx": "com edu gob net org", "my": "com edu gov mil name net org", "ng": "com edu gov net org", "nz": "ac co geek gen govt iwi maori net org school", "pe": "com edu gob net nom org", "ph": "com edu gov net org",
+    "pk": "com edu gov net org", "pl": "com edu gov net org", "pt": "com edu gov org", "sa": "com edu gov net org", "sg": "com edu gov net org per", "th": "ac co go in mi net or", "tr": "com edu gen gov net org web",
+    "tw": "com edu game gov idv net org", "ua": "com edu gov in net org", "uk": "ac co gov ltd me net nhs org plc police", "uy": "com edu gub net org", "ve": "co com gob net org", "vn": "com edu gov net org", "za": "ac co gov law net nom org school web",
+}
 #: Suffixes of two labels; any other suffix is the last label.
-SUFFIXES = ("co.uk", "com.au", "co.jp", "com.br")
+SUFFIXES = tuple(f"{label}.{country}" for country, labels in _SECOND.items() for label in labels.split())
 
 
 @dataclass(frozen=True)
@@ -43,6 +52,7 @@ class Reputation:
     #: The strength of a prior when its groups differ by no more than chance, and its bounds.
     weakest: float = 2.0
     strongest: float = 1000.0
+    suffixes: tuple[str, ...] = SUFFIXES
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -63,11 +73,11 @@ def match_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Col
     return name, verdict
 
 
-def levels(host: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host."""
-    two = F.substring_index(host, ".", -2)
-    suffix = F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(two.isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def levels(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host; a numeric host is both itself."""
+    two, numeric = F.substring_index(host, ".", -2), host.rlike(r"^[0-9]+([.][0-9]+){3}(:[0-9]*)?$")
+    suffix = F.when(numeric, host).when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
+    domain = F.when(numeric, host).when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
     return domain, suffix
 
 
@@ -93,7 +103,7 @@ def host_posteriors(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reput
     """
     labelled = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
     counted = pages.join(labelled, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
-    domain, suffix = levels(F.col("host"))
+    domain, suffix = levels(F.col("host"), r.suffixes)
     hosts = counted.withColumns({"domain": domain, "suffix": suffix})
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))

@@ -175,3 +175,14 @@ def test_every_window_is_scored():
     assert [first[row == i].tolist() for i in range(4)] == [list(range(17)), [48], [], list(range(58, 127))]
     assert [length[row == i].tolist() for i in range(4)] == [[32] * 17, [10], [], [32] * 69]
 
+
+def test_suffixes_of_two_labels_and_numeric_hosts(spark):
+    hosts = {
+        "a.org.uk": ("a.org.uk", "org.uk"), "x.b.org.uk": ("b.org.uk", "org.uk"), "www.c.co.nz": ("c.co.nz", "co.nz"), "d.com.cn": ("d.com.cn", "com.cn"), "e.co.in": ("e.co.in", "co.in"),
+        "f.example.com": ("example.com", "com"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "11.0.0.1:8080": ("11.0.0.1:8080", "11.0.0.1:8080"), "": ("", ""),
+    }
+    domain, suffix = url_reputation.levels(F.col("host"))
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: (r.domain, r.suffix) for r in df.select("host", domain.alias("domain"), suffix.alias("suffix")).collect()} == hosts
+    domain, suffix = url_reputation.levels(F.col("host"), ("example.com",))
+    assert [(r.d, r.s) for r in df.where("host = 'f.example.com'").select(domain.alias("d"), suffix.alias("s")).collect()] == [("f.example.com", "example.com")]
