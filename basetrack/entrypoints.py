@@ -199,7 +199,7 @@ def _points(t: Tables, width: int) -> DataFrame:
     return found.groupBy("window_id", F.col("track_id").alias("channel")).agg(F.concat(F.lit("["), text, F.lit("]")).alias("offsets"))
 
 
-# The reads above over whole windows and all channels.  Their rows are too many for the SQL; the tests hold them against brute force.
+# The reads above over whole windows and all channels.  They have no SQL; the tests hold them against brute force.
 
 
 @query()
