@@ -82,19 +82,30 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)  # by key
-        self.table = np.zeros(0, np.uint32)
+        none = np.zeros(0, np.int64)
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), none, none  # by key; ids are in the table
+        self.place, self.size = none, none  # and bytes in the store
+        self.table, self.store = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the table now has the ids of new texts, and how many."""
         found: list[list[int]] = []
         for lo in range(0, len(texts), 16384):
             found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 16384], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int64, len(found))
         new = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
         begin = len(self.table) + np.cumsum(count) - count
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.begin, self.count = np.insert(self.keys, at, keys), np.insert(self.begin, at, begin), np.insert(self.count, at, count)
         self.table = np.concatenate([self.table, new])
+        return begin, count
+
+    def _learn(self, keys: np.ndarray, own: list[bytes]) -> None:
+        begin, count = self._ids([x.decode() for x in own])
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        place = len(self.store) + np.cumsum(size) - size
+        self.store = np.concatenate([self.store, np.frombuffer(b"".join(own), np.uint8)])
+        at = np.searchsorted(self.keys, keys)
+        for name, new in (("keys", keys), ("begin", begin), ("count", count), ("place", place), ("size", size)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the column's texts one after another, and how many each text has."""
@@ -104,8 +115,7 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(column), np.int64)
         starts = cuts(data, bounds)
         ends = np.append(starts[1:], n)
-        hashes = tx.mix(tx.span_hashes(tx._BYTE[data], tx._B, starts, ends) + (ends - starts).astype(np.uint64))
-        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, which = np.unique(tx.byte_hashes(data, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > REMEMBERED:
             self._forget()
         at = np.searchsorted(self.keys, distinct)
@@ -113,11 +123,16 @@ class Encoder:
         inside = at < len(self.keys)
         fresh[inside] = self.keys[at[inside]] != distinct[inside]
         if fresh.any():
-            whole = data.tobytes()
             own = first[fresh]
-            self._learn(distinct[fresh], [whole[lo:hi].decode() for lo, hi in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+            self._learn(distinct[fresh], [data[lo:hi].tobytes() for lo, hi in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
         at = np.searchsorted(self.keys, distinct)[which]
-        begin, count = self.begin[at], self.count[at]
+        begin, count, size = self.begin[at], self.count[at], ends - starts
+        # a cut has the ids of what is remembered if its bytes are the same; others share its hash by accident
+        same = self.size[at] == size
+        same[same] = tx.equal_spans(data, starts[same], self.store, self.place[at[same]], size[same])
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            begin[odd], count[odd] = self._ids([data[lo:hi].tobytes().decode() for lo, hi in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)])
         where = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
         total = np.concatenate([[0], np.cumsum(count)])
         edges = np.searchsorted(starts, bounds)

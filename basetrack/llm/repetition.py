@@ -1,8 +1,8 @@
 """Repetition coverage: how much of a text lies inside n-grams and lines that it repeats.
 
 Rolling hashes of several n-gram lengths are taken over all words of a slice of texts at once; a
-window counts as duplicated when its hash occurs twice or more in its own text.  The share of a
-text's word characters that duplicated windows cover (overlaps counted once) is compared with a
+window counts as duplicated when its words occur twice or more in its own text (three times or more for windows longer than the
+base rule's five).  The share of a text's word characters that duplicated windows cover (overlaps counted once) is compared with a
 limit for each length; so are the shares of duplicated lines and of characters in them.
 
 Edge cases: a null text has no words and fails the base rules; an empty table gives an empty
@@ -11,7 +11,7 @@ result; repeated rows are judged each by itself; other columns are passed over,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,9 +24,11 @@ from basetrack.llm.common import chunks, ship
 
 @dataclass(frozen=True)
 class RepetitionRules:
-    """Limits on shares.  One passage said twice is no junk, so coverage may reach a fifth for every length."""
+    """Limits on shares.  The longer the n-gram the lower its limit, as less of it comes by chance."""
 
-    duplicate_ngrams: tuple[tuple[int, float], ...] = ((5, 0.20), (6, 0.20), (7, 0.20), (8, 0.20), (9, 0.20), (10, 0.20))
+    duplicate_ngrams: tuple[tuple[int, float], ...] = ((5, 0.20), (6, 0.18), (7, 0.16), (8, 0.14), (9, 0.12), (10, 0.10))
+    #: Occurrences from which a window of more than ``repeat_window`` words counts: one passage said twice is no junk, thrice is a pattern.
+    duplicate_least: int = 3
     top_ngrams: tuple[tuple[int, float], ...] = ((2, 0.20), (3, 0.18), (4, 0.16))
     #: Fewer occurrences than this aren't repetition: in a short text two of anything are a large share.
     top_least: int = 4
@@ -44,16 +46,55 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _repeated(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sort order, the group of each sorted key, and the size of each group."""
+def _repeated(key: np.ndarray, differ: Callable[[np.ndarray, np.ndarray], np.ndarray], exact: Callable[[], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sort order, the group of each sorted key, and the size of each group.
+
+    Neighbours with equal keys are compared by what the keys stand for (``differ`` of their places); where keys collide, the
+    codes of ``exact`` take the keys' place.
+    """
     order = np.argsort(key)
     ranked = key[order]
     fresh = np.ones(len(ranked), bool)
     fresh[1:] = ranked[1:] != ranked[:-1]
+    twins = np.flatnonzero(~fresh)
+    if len(twins) and differ(order[twins - 1], order[twins]).any():
+        return _repeated(exact(), lambda a, b: np.zeros(len(a), bool), exact)
     group = np.cumsum(fresh) - 1
     return order, group, np.bincount(group) if len(group) else np.zeros(0, np.int64)
 
 
+def _repeated_windows(w: tx.Words, length: int) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, row, repeats) of the windows of a length; windows are equal by their words."""
+    hashes, at, row = tx.window_hashes(w, length)
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = row[a] != row[b]
+        for k in range(length):
+            out |= w.hashes[at[a] + k] != w.hashes[at[b] + k]
+        return out
+
+    def exact() -> np.ndarray:
+        return np.unique(np.stack([row.astype(np.uint64), *(w.hashes[at + k] for k in range(length))], 1), axis=0, return_inverse=True)[1].ravel()
+
+    return at, row, _repeated(tx.keyed(hashes, row), differ, exact)
+
+
+def _repeated_lines(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Repeats among lines; lines are equal by their bytes."""
+
+    def line(i: int) -> tuple[int, bytes]:
+        return int(row[i]), data[starts[i] : ends[i]].tobytes()
+
+    def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.fromiter((line(i) != line(j) for i, j in zip(a.tolist(), b.tolist(), strict=True)), bool, len(a))
+
+    def exact() -> np.ndarray:
+        codes: dict[tuple[int, bytes], int] = {}
+        return np.array([codes.setdefault(line(i), len(codes)) for i in range(len(starts))])
+
+    return _repeated(tx.keyed(tx.byte_hashes(data, starts, ends), row), differ, exact)
+
+
 def measure(column: pa.Array, rules: RepetitionRules = RepetitionRules()) -> dict[str, np.ndarray]:
     """All measures of each text of the column."""
     w = tx.words(column)
@@ -78,8 +119,7 @@ def measure(column: pa.Array, rules: RepetitionRules = RepetitionRules()) -> dic
     some = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
     starts, ends, line_row = starts[some], ends[some], line_row[some]
     if len(starts):
-        key = tx.keyed(tx.mix(tx.span_hashes(tx._BYTE[w.data], tx._B, starts, ends)), line_row)
-        order, group, sizes = _repeated(key)
+        order, group, sizes = _repeated_lines(w.data, starts, ends, line_row)
         first = np.full(len(sizes), len(starts))
         np.minimum.at(first, group, order)
         again = np.zeros(len(starts), bool)
@@ -94,9 +134,8 @@ def measure(column: pa.Array, rules: RepetitionRules = RepetitionRules()) -> dic
     cum = np.concatenate([[0], np.cumsum(size)])
     top = np.zeros((n, len(rules.top_ngrams)))
     for k, (length, _) in enumerate(rules.top_ngrams):
-        hashes, at, row = tx.window_hashes(w, length)
+        at, row, (order, group, sizes) = _repeated_windows(w, length)
         if len(at):
-            order, group, sizes = _repeated(tx.keyed(hashes, row))
             weight = np.bincount(group, (cum[at + length] - cum[at])[order])
             weight[sizes < rules.top_least] = 0
             np.maximum.at(top[:, k], row[order], weight[group])
@@ -105,9 +144,9 @@ def measure(column: pa.Array, rules: RepetitionRules = RepetitionRules()) -> dic
     lengths = sorted({rules.repeat_window, *(k for k, _ in rules.duplicate_ngrams)})
     shares, n_repeat = {}, np.zeros(n, np.int64)
     for length in lengths:
-        hashes, at, row = tx.window_hashes(w, length)
-        order, group, sizes = _repeated(tx.keyed(hashes, row))
-        twice = at[order[sizes[group] > 1]] if len(at) else at
+        at, _, (order, group, sizes) = _repeated_windows(w, length)
+        least = 2 if length <= rules.repeat_window else rules.duplicate_least
+        twice = at[order[sizes[group] >= least]] if len(at) else at
         inside = tx.covered(twice, twice + length, len(rows))
         shares[length] = np.bincount(rows[inside], size[inside], n) / total
         if length == rules.repeat_window:
