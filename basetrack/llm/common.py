@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -12,22 +13,66 @@ from pathlib import Path
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel takes at once; working arrays are about 40 times this.
 CHUNK_BYTES = 2 << 20
 
 
+#: Folders made by this process and not yet removed.
+_folders: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset, as in tests, a folder of our own is set."""
+    """A new folder under ``spark.checkpoint.dir``, which all executors must reach; it goes with ``release`` or at the process's end.
+
+    Where that is unset, a local session (driver and executor in one process, as in tests) sets a folder of its own, and a cluster is refused.
+    """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = sc.getCheckpointDir()
+    base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not base and not sc._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="basetrack-")
-        spark.conf.set("spark.checkpoint.dir", base)
         sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/basetrack-{uuid.uuid4().hex}"
+    if not _folders:
+        atexit.register(_forget, sc)
+    path = f"{base.rstrip('/')}/basetrack-{uuid.uuid4().hex}"
+    _folders.append(path)
+    return path
+
+
+def folders() -> list[str]:
+    """The folders that aren't removed yet; those that a call made are the ones added to the list."""
+    return list(_folders)
+
+
+def release(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders of ``shared_dir``; nothing may read from them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in list(paths):
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+        if path in _folders:
+            _folders.remove(path)
+
+
+def _forget(sc) -> None:
+    if sc._jsc is not None:
+        release(SparkSession(sc), folders())
+
+
+def unused(names: Iterable[str], *stems: str) -> list[str]:
+    """Column names from ``stems`` that none of ``names`` has, whatever their case."""
+    have, out = {n.lower() for n in names}, []
+    for stem in stems:
+        name, k = stem, 0
+        while name.lower() in have:
+            k += 1
+            name = f"{stem}_{k}"
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -37,6 +82,31 @@ def materialise(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A hot key has a share of 1 / HOT_KEYS of all rows at least, and HOT_ROWS.
+HOT_KEYS, HOT_ROWS = 1024, 256
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, a row for each key, whose ``weight`` is the number of ``rows`` with that key; ``total``: of all rows.
+
+    Rows of hot keys meet them by broadcast, as at most HOT_KEYS keys can be hot, and then go on by the column ``spread``, so that no task gets
+    all rows of a key.  Others meet by an ordinary join.  ``rows`` are read once.
+    """
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    others = [c for c in table.columns if c not in keys]
+    value = F.struct(*others)
+    hot = table.where(F.col(weight) >= limit).select(*(F.col(k).alias(f"hot_{k}") for k in keys), value.alias("hot_value"))
+    cold = table.where(F.col(weight) < limit).select(*(F.col(k).alias(f"cold_{k}") for k in keys), F.lit(0).cast("long").alias("cold_spread"), value.alias("cold_value"))
+    marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
+    away = F.col("hot_value").isNotNull()
+    sent = marked.withColumns({f"sent_{k}": F.when(~away, F.col(k)) for k in keys} | {"sent_spread": F.when(away, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))})
+    met = sent.join(cold, [F.col(f"sent_{k}") == F.col(f"cold_{k}") for k in (*keys, "spread")], "left")
+    out = met.withColumn("got", F.coalesce("hot_value", "cold_value"))
+    if how == "inner":
+        out = out.where("got is not null")
+    return out.select(*rows.columns, *(F.col(f"got.{c}").alias(c) for c in others if c not in rows.columns))
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once a session: they need no installed copy."""
     sc = spark.sparkContext
