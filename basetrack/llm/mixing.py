@@ -9,8 +9,8 @@ before the budget's end: a source needs only its threshold block, whatever its s
 handled by all tasks, and texts are not shuffled.
 
 Edge cases: a null source is a source; a text without words has no tokens and comes in every whole epoch, and in the last one by its
-place; a source without tokens has one epoch; repeated rows are rows; an empty table gives an empty result; other columns stay, but
-for those whose names begin with mix_, which are the operator's own.
+place; a source without tokens has one epoch; repeated rows are rows; an empty table gives an empty result; other columns stay,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basetrack.llm.common import materialise, shared_dir
+from basetrack.llm.common import materialise, shared_dir, unused
+
+#: Leading hex digits of a block's order that make a band of blocks: 4,096 bands a source.
+BAND_DIGITS = 3
 
 
 @dataclass(frozen=True)
@@ -99,35 +102,45 @@ def _part(*columns: Column) -> Column:
 def mix_sources(docs: DataFrame, mix: Mix = Mix(), folder: str | None = None) -> DataFrame:
     """``docs`` as often as the mix takes them, with mix_epoch, mix_block, mix_block_order, mix_row_order, mix_tokens and mix_weight.
 
-    Sorted by epoch, block order and row order, a source's rows are its budgeted block permutation.
+    Sorted by epoch, block order and row order, a source's rows are its budgeted block permutation.  Where ``docs`` has a column of such
+    a name, the new one gets a number (mix_epoch_1); the six new columns are the last.
     """
     folder = folder or shared_dir(docs.sparkSession)
-    doc = F.coalesce(docs["doc_id"].cast("string"), F.lit(""))
-    keyed = docs.withColumns({"mix_key": _key(docs["source"].cast("string")), "mix_tokens": tokens(docs["text"])})
-    sources = materialise(source_table(keyed.select(F.col("mix_key").alias("key"), F.col("mix_tokens").alias("tokens"))), folder, "sources")
+    names = docs.columns
+    # the columns of docs go by numbers until the end, so that no name of theirs meets one from here
+    plain = docs.select(*(docs[c].alias(f"c{i}") for i, c in enumerate(names)))
+    doc_id, source, text = (F.col(f"c{[n.lower() for n in names].index(c)}") for c in ("doc_id", "source", "text"))
+    doc = F.coalesce(doc_id.cast("string"), F.lit(""))
+    keyed = plain.withColumns({"key": _key(source.cast("string")), "mix_tokens": tokens(text)})
+    sources = materialise(source_table(keyed.select("key", F.col("mix_tokens").alias("tokens"))), folder, "sources")
     plan = materialise(plan_sources(sources, mix), folder, "plan")
     seed = F.lit(str(mix.seed))
-    brief = plan.select(F.col("key").alias("mix_key"), *(F.col(c).alias(f"mix_{c}") for c in ("blocks", "epochs", "rest", "weight")))
-    block = F.conv(F.substring(F.md5(F.concat_ws("|", seed, doc)), 16, 12), 16, 10).cast("long") % F.col("mix_blocks")
+    brief = plan.select("key", "blocks", "epochs", "rest", F.col("weight").alias("mix_weight"))
+    block = F.conv(F.substring(F.md5(F.concat_ws("|", seed, doc)), 16, 12), 16, 10).cast("long") % F.col("blocks")
 
     # the remainder's epoch: where in the order of blocks does each source's budget end?
-    slim = keyed.select("doc_id", "mix_key", "mix_tokens").join(brief, "mix_key").where("mix_rest > 0").withColumn("mix_block", block)
-    order = _part(seed, F.col("mix_epochs").cast("string"), F.col("mix_key"), F.col("mix_block").cast("string"))
-    blocks = slim.groupBy("mix_key", "mix_block", "mix_epochs", "mix_rest").agg(F.sum("mix_tokens").alias("t")).withColumn("o", order)
-    before = F.sum("t").over(Window.partitionBy("mix_key").orderBy("o", "mix_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
-    ends = blocks.withColumn("before", before).where((F.col("before") <= F.col("mix_rest")) & (F.col("before") + F.col("t") > F.col("mix_rest")))
-    cut = materialise(ends.groupBy("mix_key").agg(F.max_by("o", "before").alias("mix_cut"), F.max_by("mix_block", "before").alias("mix_cut_block"), F.max("before").alias("mix_cut_before")), folder, "cuts")
-
-    rows = keyed.join(brief, "mix_key").join(cut, "mix_key", "left").withColumn("mix_block", block)
-    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("mix_epochs") - 1 + F.when(F.col("mix_rest") > 0, 1).otherwise(0), F.lit(0)))
-    each = rows.where("mix_epochs > 0 or mix_rest > 0").withColumn("mix_epoch", F.explode(epochs))
-    each = each.withColumns({"mix_block_order": _part(seed, F.col("mix_epoch").cast("string"), F.col("mix_key"), F.col("mix_block").cast("string")), "mix_row_order": _part(seed, F.col("mix_epoch").cast("string"), doc)})
-    last = F.col("mix_epoch") == F.col("mix_epochs")
-    earlier = F.col("mix_cut").isNull() | (F.col("mix_block_order") < F.col("mix_cut")) | ((F.col("mix_block_order") == F.col("mix_cut")) & (F.col("mix_block") < F.col("mix_cut_block")))
-    names = [*docs.columns, "mix_epoch", "mix_block", "mix_block_order", "mix_row_order", "mix_tokens", "mix_weight"]
-    whole = each.where(~last | earlier).select(*names)
+    slim = keyed.select(doc_id, "key", "mix_tokens").join(brief, "key").where("rest > 0").withColumn("mix_block", block)
+    order = _part(seed, F.col("epochs").cast("string"), F.col("key"), F.col("mix_block").cast("string"))
+    blocks = materialise(slim.groupBy("key", "mix_block", "epochs", "rest").agg(F.sum("mix_tokens").alias("t")).withColumn("o", order).withColumn("band", F.substring("o", 1, BAND_DIGITS)), folder, "blocks")
+    # the order is by hex digits, so a source's blocks are summed by bands of leading digits, and only one band of each source is sorted
+    bands = blocks.groupBy("key", "band", "rest").agg(F.sum("t").alias("t"))
+    before = F.sum("t").over(Window.partitionBy("key").orderBy("band").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t")
+    ending = bands.withColumn("base", before).where((F.col("base") <= F.col("rest")) & (F.col("base") + F.col("t") > F.col("rest"))).select("key", "band", "base")
+    inside = F.sum("t").over(Window.partitionBy("key", "band").orderBy("o", "mix_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("t") + F.col("base")
+    ends = blocks.join(ending, ["key", "band"]).withColumn("before", inside).where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest")))
+    cut = materialise(ends.groupBy("key").agg(F.max_by("o", "before").alias("cut"), F.max_by("mix_block", "before").alias("cut_block"), F.max("before").alias("cut_before")), folder, "cuts")
+
+    rows = keyed.join(brief, "key").join(cut, "key", "left").withColumn("mix_block", block)
+    epochs = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("epochs") - 1 + F.when(F.col("rest") > 0, 1).otherwise(0), F.lit(0)))
+    each = rows.where("epochs > 0 or rest > 0").withColumn("mix_epoch", F.explode(epochs))
+    each = each.withColumns({"mix_block_order": _part(seed, F.col("mix_epoch").cast("string"), F.col("key"), F.col("mix_block").cast("string")), "mix_row_order": _part(seed, F.col("mix_epoch").cast("string"), doc)})
+    last = F.col("mix_epoch") == F.col("epochs")
+    earlier = F.col("cut").isNull() | (F.col("mix_block_order") < F.col("cut")) | ((F.col("mix_block_order") == F.col("cut")) & (F.col("mix_block") < F.col("cut_block")))
+    new = ("mix_epoch", "mix_block", "mix_block_order", "mix_row_order", "mix_tokens", "mix_weight")
+    out = [*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), *(F.col(c).alias(n) for c, n in zip(new, unused(names, *new), strict=True))]
+    whole = each.where(~last | earlier).select(*out)
     # the block where a budget ends has about block_rows documents; they alone are sorted
-    bound = last & (F.col("mix_block") == F.col("mix_cut_block"))
-    running = F.sum("mix_tokens").over(Window.partitionBy("mix_key", "mix_block").orderBy("mix_row_order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    partial = each.where(bound).withColumn("mix_running", running).where(F.col("mix_cut_before") + F.col("mix_running") <= F.col("mix_rest")).select(*names)
+    bound = last & (F.col("mix_block") == F.col("cut_block"))
+    running = F.sum("mix_tokens").over(Window.partitionBy("key", "mix_block").orderBy("mix_row_order", doc_id).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    partial = each.where(bound).withColumn("running", running).where(F.col("cut_before") + F.col("running") <= F.col("rest")).select(*out)
     return whole.unionAll(partial)
