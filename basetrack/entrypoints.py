@@ -172,19 +172,18 @@ def window_read_sparse(t: Tables) -> DataFrame:
     return read.read_sparse(t.windows(SHORT), t.signal, t.chroms, t.channels, TILE)
 
 
-@query("""SELECT w.window_id, 1::INT AS channel, o.range AS "offset", CASE WHEN w.start + o.range >= 1000 THEN -2.0 ELSE coalesce(value, -1.0) END::DOUBLE AS value
-FROM win w CROSS JOIN range(4) o LEFT JOIN sig ON w.chrom = sig.chrom AND sig.track_id = 1 AND sig.pos = w.start + o.range""")
+@query("""SELECT w.window_id, c.range::INT AS channel, o.range AS "offset", CASE WHEN w.start + o.range >= 1000 THEN -2.0 ELSE coalesce(value, -1.0) END::DOUBLE AS value
+FROM win w CROSS JOIN range(1, 8) c CROSS JOIN range(4) o LEFT JOIN sig ON w.chrom = sig.chrom AND sig.track_id = c.range AND sig.pos = w.start + o.range""")
 def window_read_oob(t: Tables) -> DataFrame:
     """Chromosomes of 1,000 bases; missing is -1 and bases past the end are -2."""
-    one = t.channels.where("track_id = 1")
-    return read.read_dense(t.windows(SHORT), t.signal, t.chroms.withColumn("length", F.lit(1000).cast("long")), one, SHORT, -1.0, -2.0, tile=TILE)
+    return read.read_dense(t.windows(SHORT), t.signal, t.chroms.withColumn("length", F.lit(1000).cast("long")), t.channels, SHORT, -1.0, -2.0, tile=TILE)
 
 
-@query("""SELECT w.window_id, 1::INT AS channel, o.range AS "offset", coalesce(value, -1.0)::DOUBLE AS value
-FROM win w CROSS JOIN range(4) o LEFT JOIN sig ON w.chrom = sig.chrom AND w.chrom <> 'R' AND sig.track_id = 1 AND sig.pos = w.start + o.range""")
+@query("""SELECT w.window_id, c.range::INT AS channel, o.range AS "offset", coalesce(value, -1.0)::DOUBLE AS value
+FROM win w CROSS JOIN range(1, 8) c CROSS JOIN range(4) o LEFT JOIN sig ON w.chrom = sig.chrom AND w.chrom <> 'R' AND sig.track_id = c.range AND sig.pos = w.start + o.range""")
 def window_missing_chrom(t: Tables) -> DataFrame:
     """Chromosome R is unknown: the default everywhere."""
-    return read.read_dense(t.windows(SHORT), t.signal, t.chroms.where("chrom <> 'R'"), t.channels.where("track_id = 1"), SHORT, -1.0, None, tile=TILE)
+    return read.read_dense(t.windows(SHORT), t.signal, t.chroms.where("chrom <> 'R'"), t.channels, SHORT, -1.0, None, tile=TILE)
 
 
 @query("SELECT window_id, track_id AS channel, list(pos - start ORDER BY pos)::VARCHAR AS offsets FROM win4 win JOIN sig ON win.chrom = sig.chrom AND pos >= start AND pos < stop GROUP BY ALL")
@@ -260,14 +259,15 @@ def track_stats(t: Tables) -> DataFrame:
     return summary.track_stats(t.signal)
 
 
-@query("SELECT count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig WHERE track_id = 1")
+@query("SELECT count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig")
 def bigwig_summary(t: Tables) -> DataFrame:
-    return summary.interval_total(t.signal.where("track_id = 1"))
+    return summary.interval_total(t.signal)
 
 
-@query("SELECT chrom, (pos // 40)::BIGINT AS bin, count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig WHERE track_id = 1 GROUP BY ALL")
+@query("SELECT chrom, (pos // 40)::BIGINT AS bin, count(*)::BIGINT AS bases, min(value) AS least, max(value) AS most, sum(value)::DOUBLE AS total, sum(value * value)::DOUBLE AS squares FROM sig GROUP BY ALL")
 def grid_zoom_stats(t: Tables) -> DataFrame:
-    return summary.grid_zoom(t.signal.where("track_id = 1"), 40)
+    """Bins of all tracks together."""
+    return summary.grid_zoom(t.signal, 40)
 
 
 @query()
@@ -421,6 +421,35 @@ def mate_pairs(t: Tables) -> DataFrame:
     return counting.mates(named).select("qname", "a_start", "b_start")
 
 
+@query("""SELECT a.l_orderkey AS qname, CASE WHEN a.l_linestatus <> 'F' THEN a.l_partkey + a.l_quantity::BIGINT - 1 ELSE a.l_partkey END AS far,
+CASE WHEN b.l_linestatus <> 'F' THEN b.l_partkey + b.l_quantity::BIGINT - 1 ELSE b.l_partkey END AS anchor, a.l_linestatus <> 'F' AS reverse
+FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2
+WHERE (a.l_orderkey, a.l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1) AND (b.l_orderkey, b.l_linenumber) IN (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) = 1)""")
+def mate_anchors(t: Tables) -> DataFrame:
+    """The 5' end in the second read, the strand of the first."""
+    number, q = F.col("l_linenumber"), F.col("l_quantity").cast("long")
+    flag = F.when(number == 1, rf.PAIRED + rf.PROPER + rf.FIRST).when(number == 2, rf.PAIRED + rf.PROPER + rf.SECOND).otherwise(rf.UNMAPPED)
+    read = F.struct(F.col("l_partkey").alias("start"), (F.col("l_partkey") + q).alias("end"), (F.col("l_linestatus") != "F").alias("reverse"))
+    own = t.get("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n"), F.first(read).alias("read")).where("n = 1")
+    named = own.select(F.lit("f").alias("file"), F.col("l_orderkey").alias("qname"), number.alias("ordinal"), flag.alias("flag"), "read.start", "read.end", "read.reverse")
+    return counting.mate_anchors(counting.mates(named), "second", True).select("qname", "far", "anchor", "reverse")
+
+
+@query("SELECT (supp % 4)::VARCHAR AS file, chrom, pos, n, round(n * 1000000.0::DOUBLE / sum(n) OVER (PARTITION BY supp), 6) AS value FROM (SELECT supp % 4 AS supp, chrom, CASE WHEN reverse THEN stop - 1 ELSE start END AS pos, count(*) AS n FROM reads GROUP BY ALL)")
+def counts_by_file(t: Tables) -> DataFrame:
+    """Four files by supplier, each scaled by its own depth."""
+    own = t.reads.withColumn("file", (F.col("supp") % 4).cast("string"))
+    return counting.counts_by_file(own, t.chroms, stranded=False, factor=1e6, by_depth=True)[0].select("file", "chrom", "pos", "n", F.round("value", 6).alias("value"))
+
+
+@query("SELECT CASE WHEN cell % 2 = 0 THEN cell // 2 END::BIGINT AS track_id, chrom, pos, count(*) AS n FROM (SELECT chrom, cell, unnest([start, stop - 1]) AS pos FROM frag) WHERE cell % 2 = 0 AND pos < 20000 GROUP BY ALL")
+def counts_by_listed_cell(t: Tables) -> DataFrame:
+    """Even cells are listed; chromosomes end at 20,000."""
+    barcodes = t.fragments.select("cell").distinct().where("cell % 2 = 0").withColumn("track_id", F.floor(F.col("cell") / 2))
+    chroms = t.fragments.select("chrom").distinct().withColumn("length", F.lit(20000).cast("long"))
+    return counting.counts_by_cell(t.fragments, chroms, barcodes)[0]
+
+
 @query("SELECT chrom, track_id, count(*) AS n FROM (SELECT *, max(stop) OVER (PARTITION BY chrom, track_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM reads) WHERE reach > start GROUP BY ALL")
 def running_max_overlap(t: Tables) -> DataFrame:
     return runs.overlapping(t.reads.select("chrom", "track_id", "start", "end")).groupBy("chrom", "track_id").agg(F.count("*").alias("n"))

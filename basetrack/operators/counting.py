@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basetrack.functions.reads import both_ends, five_prime, three_prime
 
@@ -105,20 +106,73 @@ def ranked(rows: DataFrame, order: str, name: str, width: int = 1 << 16) -> Data
 
 
 def mates(reads: DataFrame) -> DataFrame:
-    """Proper pairs: (file, qname, first read's columns as a_*, second's as b_*); of repeats of a mate the last before its partner counts.
+    """Proper pairs: (file, qname, first read's columns as a_*, second's as b_*), in the order of the file.
 
-    Reads have file, qname, ordinal and flag.  Rows of one name are few, so the join's keys are even.
+    Reads have file, qname, ordinal and flag.  A read waits until its partner comes; a repeat of the waiting mate takes its place; after
+    a pair nothing waits, so one name may give several pairs.  The rows of one name are few, and are gone through in order.
     """
     from basetrack.functions.reads import FIRST, PROPER, SECOND, SECONDARY, SUPPLEMENTARY, UNMAPPED, has
 
-    flag = F.col("flag")
-    own = reads.where(~has(flag, UNMAPPED) & ~has(flag, SECONDARY) & ~has(flag, SUPPLEMENTARY) & has(flag, PROPER))
-    last = Window.partitionBy("file", "qname", "_first").orderBy(F.col("ordinal").desc())
-    marked = own.withColumn("_first", has(flag, FIRST)).where(has(flag, FIRST) | has(flag, SECOND))
-    kept = marked.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
-    a = kept.where("_first").select("file", "qname", *(F.col(c).alias(f"a_{c}") for c in reads.columns if c not in ("file", "qname")))
-    b = kept.where(~F.col("_first")).select("file", "qname", *(F.col(c).alias(f"b_{c}") for c in reads.columns if c not in ("file", "qname")))
-    return a.join(b, ["file", "qname"])
+    flag, others = F.col("flag"), [c for c in reads.columns if c not in ("file", "qname")]
+    own = reads.where(~has(flag, UNMAPPED) & ~has(flag, SECONDARY) & ~has(flag, SUPPLEMENTARY) & has(flag, PROPER)).where(has(flag, FIRST) | has(flag, SECOND))
+    row = F.struct("ordinal", has(flag, FIRST).alias("first"), F.struct(*others).alias("read"))
+    named = own.groupBy("file", "qname").agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") > 1)
+    kind = named.schema["rows"].dataType.elementType
+    none, pairs = F.lit(None).cast(kind), F.array().cast(T.ArrayType(T.StructType([T.StructField("a", kind), T.StructField("b", kind)])))
+
+    def step(state: Column, now: Column) -> Column:
+        waits, done = state["waits"], state["done"]
+        meets = waits.isNotNull() & (waits["first"] != now["first"])
+        pair = F.struct(F.when(now["first"], now).otherwise(waits).alias("a"), F.when(now["first"], waits).otherwise(now).alias("b"))
+        return F.struct(F.when(~meets, now).alias("waits"), F.when(meets, F.array_append(done, pair)).otherwise(done).alias("done"))
+
+    found = F.aggregate("rows", F.struct(none.alias("waits"), pairs.alias("done")), step, lambda state: state["done"])
+    each = named.select("file", "qname", F.explode(found).alias("p"))
+    return each.select("file", "qname", *(F.col(f"p.{side}.read.{c}").alias(f"{side}_{c}") for side in "ab" for c in others))
+
+
+def mate_anchors(pairs: DataFrame, five_is: str = "first", opposite_strand: bool = False) -> DataFrame:
+    """Adds anchor (the 5' end of the mate that holds the molecule's 5' end), far (the other mate's 5' end) and reverse.
+
+    pairs: as ``mates`` gives them, with start, end and reverse of both reads; ``five_is``: first or second.
+    """
+    if five_is not in ("first", "second"):
+        raise ValueError(f"the 5' end is in the first or second read, not {five_is!r}")
+    near, far = ("a", "b") if five_is == "first" else ("b", "a")
+    end = lambda side: five_prime(F.col(f"{side}_start"), F.col(f"{side}_end"), F.col(f"{side}_reverse"))
+    return pairs.withColumns({"anchor": end(near), "far": end(far), "reverse": F.col(f"{far if opposite_strand else near}_reverse")})
+
+
+def counts_by_file(reads: DataFrame, chroms: DataFrame, end: str = "five", plus: int = 0, minus: int = 0, stranded: bool = True, factor: float = 1.0, by_depth: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(counts, report) of each file by itself: counts within the chromosomes with ``value``, and (file, chrom, lost) of the others.
+
+    Depth is all entries of the file.
+    """
+    counted = count_positions(reads, end, plus, minus, stranded, keys=("file",))
+    depth = counted.groupBy("file").agg(F.sum("n").cast("double").alias("depth"))
+    value = F.col("n") * F.lit(float(factor)) / (F.col("depth") if by_depth else F.lit(1.0))
+    known = counted.join(chroms.select("chrom", "length"), "chrom").withColumn("inside", (F.col("pos") >= 0) & (F.col("pos") < F.col("length")))
+    kept = known.where("inside").join(depth, "file").withColumn("value", value).drop("inside", "length", "depth")
+    report = known.groupBy("file", "chrom").agg(F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("lost"))
+    return kept, report
+
+
+def counts_by_cell(fragments: DataFrame, chroms: DataFrame, barcodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(counts, cells, report): both ends of each cell's fragments; fragments have chrom, start, end, cell and ordinal.
+
+    ``barcodes`` (cell, track_id) names the cells and their order, else they come by their first fragment.  The report has one row: ends outside
+    their chromosome are dropped, fragments of cells that aren't listed are skipped, and those of unknown chromosomes are unknown.
+    """
+    cells = cells_first_seen(fragments) if barcodes is None else barcodes
+    if barcodes is not None and not barcodes.groupBy("cell").count().where("count > 1").isEmpty():
+        raise ValueError("a barcode is listed twice")
+    marked = fragments.join(cells.select(F.col("cell").alias("listed"), "track_id"), F.col("cell") == F.col("listed"), "left").join(chroms.select("chrom", "length"), "chrom", "left")
+    placed = marked.withColumn("pos", F.explode(both_ends(F.col("start"), F.col("end"))))
+    good = F.col("listed").isNotNull() & F.col("length").isNotNull()
+    out = (F.col("pos") < 0) | (F.col("pos") >= F.col("length"))
+    counts = placed.where(good & ~out).groupBy("track_id", "chrom", "pos").agg(F.count("*").alias("n"))
+    report = placed.agg(F.count_if(good & out).alias("dropped"), (F.count_if(F.col("listed").isNull()) / 2).cast("long").alias("skipped"), (F.count_if(F.col("listed").isNotNull() & F.col("length").isNull()) / 2).cast("long").alias("unknown"))
+    return counts, cells, report
 
 
 def skip_reasons(reads: DataFrame, least_mapq: int = 0, primary_only: bool = False, has_tags: Column | None = None) -> DataFrame:

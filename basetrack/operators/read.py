@@ -8,8 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basetrack.operators.overlap import overlap_pairs
+from basetrack.plans.prefix import range_totals
 from basetrack.schema import LONGEST, TILE
 
+#: Bins of this many bases and more are summed from running sums, smaller ones from the runs in them.
+LEAST_BIN = 8
+
 
 def check_windows(windows: DataFrame) -> None:
     """Starts at 0 or later, ends not before starts nor beyond the longest chromosome."""
@@ -68,14 +72,20 @@ def read_dense(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channel
     Multi-track datasets have default 0 and NaN past the end (None: 0, for whole-number output); interval tracks have
     ``default`` where no interval is, and NaN intervals count as missing unless ``keep_nan``.
     """
-    grid = windows.join(chroms.select("chrom", "length"), "chrom", "left").select("window_id", "start", "length")
-    grid = grid.withColumn("offset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))))
-    every = channels.agg(F.array_sort(F.collect_list("channel")).alias("all")).select("all")  # one row: the requested channels
-    grid = grid.join(F.broadcast(every)).withColumn("channel", F.explode("all")).drop("all")
-    found = entries(_clipped(windows, chroms), signal, channels, tile)
-    joined = grid.join(found, ["window_id", "channel", "offset"], "left")
-    value = fill(F.col("value"), F.col("start") + F.col("offset") < F.col("length"), F.col("length").isNotNull(), default, oob, keep_nan)
-    return joined.select("window_id", "channel", "offset", value.alias("value"))
+    length = F.col("length")
+    every = channels.agg(F.collect_list(F.struct("channel", "track_id")).alias("all"))  # one row: the requested channels
+    grid = windows.join(chroms.select("chrom", "length"), "chrom", "left").join(F.broadcast(every)).select("window_id", "start", "length", F.explode("all").alias("x")).select("window_id", "start", "length", "x.channel", "x.track_id")
+    # a row for each window and track with its stored bases; the others are the rest of the offsets, so nothing is joined by base
+    bases = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda p: F.struct((p - F.col("start")).alias("offset"), F.col("s_value").alias("value")))
+    pairs = overlap_pairs(_clipped(windows, chroms), signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi"), tile)
+    found = pairs.select("window_id", F.col("s_track_id").alias("track_id"), bases.alias("some")).groupBy("window_id", "track_id").agg(F.flatten(F.collect_list("some")).alias("stored"))
+    joined = grid.join(found, ["window_id", "track_id"], "left")
+    stored = F.coalesce("stored", F.array().cast("array<struct<offset:bigint,value:double>>"))
+    offsets = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
+    rest = F.transform(F.array_except(offsets, F.transform(stored, lambda b: b["offset"])), lambda o: F.struct(o.alias("offset"), F.lit(None).cast("double").alias("value")))
+    each = joined.select("window_id", "channel", "start", "length", F.explode(F.concat(stored, rest)).alias("b")).select("window_id", "channel", "start", "length", "b.offset", "b.value")
+    value = fill(F.col("value"), F.col("start") + F.col("offset") < length, length.isNotNull(), default, oob, keep_nan)
+    return each.select("window_id", "channel", "offset", value.alias("value"))
 
 
 def packed(dense: DataFrame) -> DataFrame:
@@ -88,12 +98,19 @@ def binned_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channe
     """Sums per bin of ``bins`` bases; runs are cut at bin edges, bases are never listed.  ``by``: channel or label."""
     if width % bins:
         raise ValueError(f"bins of {bins} don't divide a width of {width}")
-    pairs = overlap_pairs(_clipped(windows, chroms), signal, tile)
-    first, last = F.floor((F.col("lo") - F.col("start")) / bins), F.floor((F.col("hi") - 1 - F.col("start")) / bins)
-    cut = pairs.withColumn("bin", F.explode(F.sequence(first, last)))
+    own = _clipped(windows, chroms)
+    if bins < LEAST_BIN:  # hardly a run longer than a bin: its bins are fewer than a window's
+        pairs = overlap_pairs(own, signal, tile)
+        first, last = F.floor((F.col("lo") - F.col("start")) / bins), F.floor((F.col("hi") - 1 - F.col("start")) / bins)
+        cut = pairs.withColumn("bin", F.explode(F.sequence(first, last)))
+        edge = F.col("start") + F.col("bin") * bins
+        bases = F.least("hi", edge + bins) - F.greatest("lo", edge)
+        return cut.join(channels, cut["s_track_id"] == channels["track_id"]).groupBy("window_id", by, "bin").agg(F.sum(F.col("s_value") * bases).alias("total"))
+    each = own.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1 - F.col("start")) / bins))))
     edge = F.col("start") + F.col("bin") * bins
-    bases = F.least("hi", edge + bins) - F.greatest("lo", edge)
-    return cut.join(channels, cut["s_track_id"] == channels["track_id"]).groupBy("window_id", by, "bin").agg(F.sum(F.col("s_value") * bases).alias("total"))
+    cells = each.select("window_id", "bin", "chrom", edge.alias("start"), F.least("end", edge + bins).alias("end"))
+    found = range_totals(cells, signal, ids=("window_id", "bin"), tile=tile)
+    return found.join(F.broadcast(channels), "track_id").groupBy("window_id", by, "bin").agg(F.sum(F.when(F.col("nans") > 0, float("nan")).otherwise(F.col("s"))).alias("total"))
 
 
 def check_labels(labels: DataFrame) -> int:

@@ -5,21 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basetrack.operators.overlap import clip, overlap_pairs, tile_of
+from basetrack.operators.overlap import clip, tile_of
+from basetrack.plans.prefix import range_totals
 from basetrack.schema import EXACT, TILE
 
 POLICIES = ("propagate", "skip", "count")
 
 
-def total(value: Column, bases: Column, policy: str) -> Column:
-    """The aggregate of a NaN policy over overlaps: propagate sums NaN, skip leaves them out, count counts them (to be taken from the length)."""
+def total(policy: str) -> Column:
+    """What a NaN policy makes of ``range_totals``: propagate sums NaN, skip leaves them out, count counts them (to be taken from the length)."""
     if policy not in POLICIES:
         raise ValueError(f"nan is one of {', '.join(POLICIES)}, not {policy!r}")
     if policy == "propagate":
-        return F.sum(value * bases)
-    if policy == "skip":
-        return F.sum(F.when(F.isnan(value), 0.0).otherwise(value) * bases)
-    return F.sum(F.when(F.isnan(value), bases).otherwise(0))
+        return F.when(F.col("nans") > 0, float("nan")).otherwise(F.col("s"))
+    return F.col("s" if policy == "skip" else "nans")
 
 
 def interval_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, nan: str = "propagate", tile: int = TILE) -> DataFrame:
@@ -28,8 +27,7 @@ def interval_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, nan:
     With ``nan='count'`` the total is the interval's bases within the chromosome that aren't NaN.
     """
     inside = clip(windows, chroms)
-    pairs = overlap_pairs(inside, signal, tile)
-    out = pairs.groupBy("window_id", F.col("s_track_id").alias("track_id")).agg(total(F.col("s_value"), F.col("hi") - F.col("lo"), nan).alias("total"))
+    out = range_totals(inside, signal, tile=tile).select("window_id", "track_id", total(nan).alias("total"))
     if nan != "count":
         return out
     return out.join(inside.select("window_id", (F.col("end") - F.col("start")).alias("bases")), "window_id").select("window_id", "track_id", (F.col("bases") - F.col("total")).alias("total"))
@@ -44,20 +42,16 @@ def with_zeros(sums: DataFrame, windows: DataFrame, channels: DataFrame) -> Data
 
 def paired_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, tile: int = TILE) -> DataFrame:
     """(window_id, total): each window against its own track_id only."""
-    pairs = overlap_pairs(clip(windows, chroms), signal, tile, on=("track_id",))
-    found = pairs.groupBy("window_id").agg(F.sum(F.col("s_value") * (F.col("hi") - F.col("lo"))).alias("total"))
+    found = range_totals(clip(windows, chroms), signal, tile=tile, on=("track_id",), by=()).select("window_id", total("propagate").alias("total"))
     return windows.select("window_id").join(found, "window_id", "left").select("window_id", F.coalesce("total", F.lit(0.0)).alias("total"))
 
 
 def interval_means(windows: DataFrame, signal: DataFrame, chroms: DataFrame, tile: int = TILE) -> DataFrame:
     """Mean over the bases within the chromosome that aren't NaN."""
     inside = clip(windows, chroms)
-    pairs = overlap_pairs(inside, signal, tile)
-    bases = F.col("hi") - F.col("lo")
-    s = pairs.groupBy("window_id", F.col("s_track_id").alias("track_id")).agg(total(F.col("s_value"), bases, "skip").alias("total"), total(F.col("s_value"), bases, "count").alias("nans"))
-    wide = s.join(inside.select("window_id", (F.col("end") - F.col("start")).alias("bases")), "window_id")
+    wide = range_totals(inside, signal, tile=tile).withColumnRenamed("bases", "stored").join(inside.select("window_id", (F.col("end") - F.col("start")).alias("bases")), "window_id")
     n = F.col("bases") - F.col("nans")
-    return wide.select("window_id", "track_id", F.when(n > 0, F.col("total") / n).alias("mean"))
+    return wide.select("window_id", "track_id", F.when(n > 0, F.col("s") / n).alias("mean"))
 
 
 def tile_split_sums(windows: DataFrame, signal: DataFrame, tile_sums: DataFrame, chroms: DataFrame, tile: int = TILE) -> DataFrame:
@@ -68,13 +62,12 @@ def tile_split_sums(windows: DataFrame, signal: DataFrame, tile_sums: DataFrame,
     inside = clip(windows, chroms)
     first, last = F.ceil(F.col("start") / F.lit(tile)), tile_of(F.col("end"), tile)  # whole tiles [first, last)
     marked = inside.withColumns({"first": first, "last": last})
-    whole = marked.where("last > first").withColumn("tile", F.explode(F.sequence("first", F.col("last") - 1)))
-    of_tiles = whole.join(tile_sums.select("chrom", "tile", "track_id", F.col("sum").cast("double").alias("part")), ["chrom", "tile"]).select("window_id", "track_id", "part")
+    whole = marked.where("last > first").select("window_id", "chrom", F.col("first").alias("start"), F.col("last").alias("end"))
+    stored = tile_sums.select("chrom", "track_id", F.col("tile").alias("start"), (F.col("tile") + 1).alias("end"), F.col("sum").cast("double").alias("value"))
     head = marked.select("window_id", "chrom", "start", F.when(F.col("last") > F.col("first"), F.col("first") * tile).otherwise(F.col("end")).alias("end"))
     tail = marked.where("last > first").select("window_id", "chrom", (F.col("last") * tile).alias("start"), "end")
-    ends = overlap_pairs(head.unionByName(tail), signal, tile)
-    of_ends = ends.select("window_id", F.col("s_track_id").alias("track_id"), (F.col("s_value") * (F.col("hi") - F.col("lo"))).alias("part"))
-    return of_tiles.unionByName(of_ends).groupBy("window_id", "track_id").agg(F.sum("part").alias("total"))
+    parts = [range_totals(whole, stored, tile=tile), range_totals(head.unionByName(tail), signal, tile=tile)]
+    return parts[0].unionByName(parts[1]).groupBy("window_id", "track_id").agg(F.sum(total("propagate")).alias("total"))
 
 
 def check_sums(sums: DataFrame, least: int, most: int) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from basetrack import entrypoints
 
-HEADLINE = ("interval_sums", "paired_sums", "tile_sums", "zoom_levels", "track_stats", "count_five_prime", "coverage_runs", "cell_counts", "rle_runs", "mate_pairs", "hic_mirror")
+HEADLINE = ("interval_sums", "tile_split_sums", "binned_sums", "label_bin_sums", "paired_sums", "window_read_dense", "tile_sums", "zoom_levels", "track_stats", "count_five_prime", "coverage_runs", "cell_counts", "rle_runs", "mate_pairs", "hic_mirror")
 
 
 def main() -> None:

@@ -172,6 +172,83 @@ def test_fibers(spark):
     assert [(r.pos, r.probability) for r in fibers.modifications(reads, "m6a", 100).collect()] == [(13, 200)]
 
 
+def test_mates_wait_for_their_partners(spark):
+    """Against a plain loop: repeats, also after the partner, and several pairs of one name."""
+    import random
+
+    from basetrack.functions import reads as rf
+    from basetrack.operators import counting
+
+    r = random.Random(4)
+    rows = [("f", i, f"q{r.randrange(12)}", rf.PAIRED + rf.PROPER + r.choice([rf.FIRST, rf.SECOND]), i, i + 5, r.random() < 0.5) for i in range(120)]
+    waiting, want = {}, []
+    for _, i, name, flag, *_ in rows:
+        first = bool(flag & rf.FIRST)
+        if name in waiting and waiting[name][0] != first:
+            other = waiting.pop(name)[1]
+            want.append((name, i, other) if first else (name, other, i))
+        else:
+            waiting[name] = (first, i)
+    got = counting.mates(spark.createDataFrame(rows, "file string, ordinal long, qname string, flag int, start long, end long, reverse boolean"))
+    assert sorted((x.qname, x.a_start, x.b_start) for x in got.collect()) == sorted(want)
+    by = {i: (s, e, rev) for _, i, _, _, s, e, rev in rows}
+    five = lambda i: by[i][1] - 1 if by[i][2] else by[i][0]
+    for which, opposite in (("first", False), ("second", True)):
+        out = {(x.a_start, x.b_start): (x.anchor, x.far, x.reverse) for x in counting.mate_anchors(got, which, opposite).collect()}
+        near = lambda a, b: (a, b) if which == "first" else (b, a)  # noqa: B023, E731
+        assert out == {(a, b): (five(near(a, b)[0]), five(near(a, b)[1]), by[near(a, b)[1 if opposite else 0]][2]) for _, a, b in want}
+
+
+def test_counts_by_file_and_by_cell(spark):
+    from basetrack.operators import counting
+
+    chroms = spark.createDataFrame([("c", 20), ("d", 5)], "chrom string, length long")
+    reads = spark.createDataFrame([("x", "c", 3, 9, False), ("x", "c", 3, 8, False), ("x", "c", 25, 30, False), ("y", "d", 1, 9, True), ("y", "z", 1, 2, False)], "file string, chrom string, start long, end long, reverse boolean")
+    kept, report = counting.counts_by_file(reads, chroms, factor=3.0, by_depth=True)
+    assert [(r.file, r.strand, r.pos, r.n, r.value) for r in kept.collect()] == [("x", "+", 3, 2, 2.0)]
+    assert {(r.file, r.chrom): r.lost for r in report.collect()} == {("x", "c"): 1, ("y", "d"): 1}
+    rows = [("c", 2, 6, "b", 0), ("c", 2, 9, "a", 1), ("d", 3, 9, "a", 2), ("z", 0, 4, "a", 3), ("c", 5, 6, "b", 4)]
+    fragments = spark.createDataFrame(rows, "chrom string, start long, end long, cell string, ordinal long")
+    counts, cells, report = counting.counts_by_cell(fragments, chroms)
+    assert {(r.cell, r.track_id) for r in cells.collect()} == {("b", 0), ("a", 1)}
+    assert {(r.track_id, r.chrom, r.pos): r.n for r in counts.collect()} == {(0, "c", 2): 1, (0, "c", 5): 3, (1, "c", 2): 1, (1, "c", 8): 1, (1, "d", 3): 1}
+    assert report.first().asDict() == {"dropped": 1, "skipped": 0, "unknown": 1}
+    listed = spark.createDataFrame([("b", 0)], "cell string, track_id long")
+    counts, _, report = counting.counts_by_cell(fragments, chroms, listed)
+    assert counts.count() == 2 and report.first().skipped == 3
+    with pytest.raises(ValueError, match="twice"):
+        counting.counts_by_cell(fragments, chroms, listed.unionAll(listed))
+
+
+def test_fibre_reads_to_tracks(spark):
+    from basetrack.operators import fibre
+
+    assert fibers.modification_calls("AATAC", 0, "A-a,0;T-a,0;A+a,1;", [9, 8, 7], "m6a") == [(1, 7), (2, 8)]  # A-a is no 6mA call
+    tags = {"MM": "A+a,0,0;C+m,0;", "ML": "200,0,90", "ns": "0,6", "nl": "2,2", "as": "2,8", "al": "3,1", "aq": "0,7"}
+    found, stats = fibre.read_spans(100, 0, "10M", "AACCGGTTAC", tags)
+    assert found == {"m6a": [(100, 101, 200)], "cpg": [(102, 103, 90)], "nuc": [(100, 102, 1), (106, 108, 1)], "msp": [(102, 105, 1), (108, 109, 1)], "fire": [(108, 109, 7)]}
+    assert stats == {"status": 0, "m6a_calls": 2, "m6a_unplaced": 0, "cpg_calls": 1, "cpg_unplaced": 0, "at_bases": 5, "nuc_calls": 2, "msp_calls": 2, "fire_calls": 1}
+    other = {"MA": "10;nuc+:1-2,7-2;msp+:3-3,9-1;fire+Q:9-1", "AQ": "7"}
+    assert {k: v for k, v in found.items() if k in ("nuc", "msp", "fire")} == fibre.read_spans(100, 0, "10M", "AACCGGTTAC", other)[0]
+    assert fibre.read_spans(100, 16, "10M", "AACCGGTTAC", other)[0]["nuc"] == [(102, 104, 1), (108, 110, 1)]
+    assert fibre.read_spans(100, 0, "10M", "AACCGGTTAC", tags, ("m6a",), 100)[0] == {"m6a": [(100, 101, 1)]}
+    wrong = {"MM": "A+a,9;T+?x;", "ML": ""}
+    assert fibre.read_spans(0, 0, "5M", "AACCG", wrong, ("m6a",))[1]["status"] == fibers.PAST_SEQUENCE | fibers.BAD_MM
+    assert fibre.read_spans(0, 0, "5M", "AACCG", {"MM": "A+a,0,0;", "ML": "3"}, ("m6a",))[1]["status"] == fibers.SHORT_ML
+    assert fibre.read_spans(0, 0, "5M", "AACCG", {"MM": "A+a,0;A+a,0;", "ML": "3,4"}, ("m6a",))[1]["status"] == fibers.DUPLICATE
+    assert fibre.read_spans(0, 0, "5M", "*", {"MM": "A+a,0;", "ML": "3"}, ("m6a",))[1]["status"] == fibers.NO_SEQUENCE
+    schema_ = "file string, ordinal long, qname string, chrom string, start long, flag int, mapq int, cigar string, seq string, tags map<string,string>"
+    rows = [("f", 0, "r", "c", 100, 0, 60, "10M", "AACCGGTTAC", tags), ("f", 1, "r", "c", 104, 0, 60, "10M", "AACCGGTTAC", other), ("f", 2, "s", "c", 0, 4, 0, "*", "A", tags), ("g", 0, "t", "c", 0, 0, 9, "1M", "A", {})]
+    reads = fibre.kept(spark.createDataFrame(rows, schema_))
+    chroms = spark.createDataFrame([("c", 110)], "chrom string, length long")
+    signal, tracks = fibre.signal(reads, chroms)
+    assert [r.name for r in tracks.orderBy("track_id").collect()] == [f"{n}.{c}" for n in ("r", "r@c:104") for c in fibre.CHANNELS]
+    assert {(r.track_id, r.start, r.end, r.value) for r in signal.collect()} == {(0, 100, 101, 200.0), (1, 102, 103, 90.0), (2, 100, 102, 1.0), (2, 106, 108, 1.0), (3, 102, 105, 1.0), (3, 108, 109, 1.0), (4, 108, 109, 7.0), (7, 104, 106, 1.0), (8, 106, 109, 1.0)}
+    assert {(r.ordinal, r.m6a_calls, r.nuc_calls) for r in fibre.statistics(reads).collect()} == {(0, 2, 2), (1, None, 2)}
+    assert fibre.bases(fibre.spans(reads)).count() == 4 + 4 + 4 + 1 + 2 + 4 + 1 - 0
+    assert fibers.tag_attributes({"HP": "1", "rq": "nan", "ec": "2.5", "RG": "g", "B1": "1,2"}, {"HP": "i", "rq": "f", "ec": "f", "B1": "B"}, ("HP", "RG", "rq", "ec", "B1", "zz")) == {"HP": 1, "RG": "g", "ec": 2.5, "B1": [1, 2]}
+
+
 def test_command_line(spark, tmp_path, capsys):
     from basetrack import cli
 
