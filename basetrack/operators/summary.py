@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basetrack.functions.zoom import Greedy, Records, zoom_sizes  # noqa: F401
 from basetrack.operators.overlap import split_at_tiles
 from basetrack.schema import DTYPES, TILE
 
@@ -63,15 +64,6 @@ def interval_total(signal: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return signal.groupBy(*keys).agg(F.sum(bases).alias("bases"), F.min(value.cast("double")).alias("least"), F.max(value.cast("double")).alias("most"), F.sum(product).alias("total"), F.sum((bases * value.cast("double") * value.cast("double"))).alias("squares"))
 
 
-def zoom_sizes(mean_width: float, longest: int, most: int = 10) -> list[int]:
-    """Reduction sizes: 16 mean widths, at least 10, then four times the one before up to the longest chromosome."""
-    out, size = [], max(10, int(16 * mean_width))
-    while len(out) < most and size <= longest:
-        out.append(size)
-        size *= 4
-    return out
-
-
 def grid_zoom(signal: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """(keys, bin, bases, least, most, total, squares) over fixed bins of ``size`` bases."""
     cut = split_at_tiles(signal, size)
@@ -84,26 +76,19 @@ def greedy_zoom(signal: DataFrame, size: int, keys: tuple[str, ...] = ("chrom",)
 
     The intervals of each value of ``keys`` are streamed in order; only the open record is in memory.
     """
-    columns = [*keys, *(x.split()[0] for x in RECORDS.split(", "))]
+    columns = [x.split()[0] for x in RECORDS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, record, out = None, None, []
+        greedy = Greedy(size)
+
+        def given(found: list[tuple[object, Records]]) -> Iterator[pd.DataFrame]:
+            for key, r in found:
+                yield pd.DataFrame({**dict(zip(keys, key, strict=True)), **dict(zip(columns, r, strict=True))})
+
         for batch in batches:
-            for *k, start, end, value in batch.itertuples(index=False, name=None):
-                if record is None or k != key or start >= record[0] + size:
-                    if record is not None:
-                        out.append((*key, *record))
-                    key, record = k, [start, end, 0, value, value, 0.0, 0.0]
-                n = end - start
-                record[1], record[2] = max(record[1], end), record[2] + n
-                record[3], record[4] = min(record[3], value), max(record[4], value)
-                record[5], record[6] = record[5] + n * value, record[6] + n * value * value
-            if len(out) >= 4096:
-                yield pd.DataFrame(out, columns=columns)
-                out = []
-        if record is not None:
-            out.append((*key, *record))
-        yield pd.DataFrame(out, columns=columns)
+            for key, own in batch.groupby(list(keys), sort=False, dropna=False):
+                yield from given(greedy.feed(key, Records.of(*(own[c].to_numpy() for c in ("start", "end", "value")))))
+        yield from given(greedy.close())
 
     own = signal.select(*keys, "start", "end", "value")
     schema = ", ".join([*(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys), RECORDS])

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from basetrack.functions.zoom import Greedy, Records, zoom_sizes
+
 # Fixed values of the file format.
 MAGIC, TREE_MAGIC, INDEX_MAGIC = 0x888FFC26, 0x78CA8C91, 0x2468ACE0
 BEDGRAPH, VARIABLE_STEP, FIXED_STEP = 1, 2, 3
-BLOCK_ITEMS, NODE_ITEMS = 1024, 256
+BLOCK_ITEMS, NODE_ITEMS, MOST_ZOOMS = 1024, 256, 10
 SCHEMA = "chrom string, start long, end long, value float"
 
 
@@ -181,17 +183,124 @@ def _index(blocks: list[tuple[int, int, int, int, int]], at: int, end: int) -> b
     return b"".join(out)
 
 
-def write_file(path: str, chroms: list[tuple[str, int]], batches: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], level: int = 6) -> None:
-    """A bigWig without zoom levels from (chromosome number, starts, ends, values) in order; published by a rename."""
+def encode(chrom: int, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> bytes:
+    """A block before deflation, of the kind that says the items in the fewest bytes."""
+    n, width = len(starts), int(ends[0] - starts[0])
+    steps = np.diff(starts)
+    if (ends - starts == width).all():
+        step = int(steps[0]) if n > 1 else width
+        if (steps == step).all():
+            kind, body = FIXED_STEP, values.astype("<f4").tobytes()
+        else:
+            items = np.empty(n, "<u4,<f4")
+            items["f0"], items["f1"] = starts, values
+            kind, step, body = VARIABLE_STEP, 0, items.tobytes()
+    else:
+        items = np.empty(n, "<u4,<u4,<f4")
+        items["f0"], items["f1"], items["f2"] = starts, ends, values
+        kind, step, width, body = BEDGRAPH, 0, 0, items.tobytes()
+    return struct.pack("<IIIIIBBH", chrom, int(starts[0]), int(ends[-1]), step, width, kind, 0, n) + body
+
+
+_ZOOM = np.dtype([("chrom", "<u4"), ("start", "<u4"), ("end", "<u4"), ("bases", "<u4"), ("least", "<f4"), ("most", "<f4"), ("total", "<f4"), ("squares", "<f4")])
+
+
+class _Level:
+    """A zoom level as it is written: blocks of records in order."""
+
+    def __init__(self, f, level: int) -> None:
+        self.f, self.deflation, self.at, self.n, self.blocks, self.held, self.largest = f, level, f.tell(), 0, [], [], 0
+        f.write(b"\0" * 4)
+
+    def put(self, chrom: int, r: Records) -> None:
+        items = np.empty(len(r.start), _ZOOM)
+        items["chrom"] = chrom
+        for name, column in zip(Records._fields, r, strict=True):
+            items[name] = column
+        self.held.append(items)
+        if sum(map(len, self.held)) >= BLOCK_ITEMS:
+            self._flush(False)
+
+    def _flush(self, all_of_it: bool) -> None:
+        items = np.concatenate(self.held) if self.held else np.empty(0, _ZOOM)
+        at = 0
+        while at < len(items):
+            end = min(at + BLOCK_ITEMS, len(items))
+            end = min(end, at + int(np.searchsorted(items["chrom"][at:end], items["chrom"][at], side="right")))  # of one chromosome
+            if end == len(items) and not all_of_it and end - at < BLOCK_ITEMS:
+                break
+            part = items[at:end]
+            packed = zlib.compress(part.tobytes(), self.deflation)
+            self.largest = max(self.largest, part.nbytes)
+            self.blocks.append((int(part["chrom"][0]), int(part["start"][0]), int(part["end"].max()), self.f.tell(), len(packed)))
+            self.f.write(packed)
+            self.n += len(part)
+            at = end
+        self.held = [items[at:]] if at < len(items) else []
+
+    def close(self) -> tuple[int, int]:
+        """(place of the data, place of the index)."""
+        self._flush(True)
+        index = self.f.tell()
+        self.f.write(_index(self.blocks, index, index))
+        end = self.f.tell()
+        self.f.seek(self.at)
+        self.f.write(struct.pack("<I", self.n))
+        self.f.seek(end)
+        return self.at, index
+
+
+def _inflated(f, blocks: list[tuple[int, int, int, int, int]]) -> Iterator[bytes]:
+    for *_, offset, size in blocks:
+        end = f.tell()
+        f.seek(offset)
+        data = zlib.decompress(f.read(size))
+        f.seek(end)
+        yield data
+
+
+def _zoom_levels(f, sizes: list[int], blocks: list, n_items: int, deflation: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Writes zoom levels, each from the one before and the first from the data; one with no fewer records than what it is made from is dropped."""
+    out, largest, source, n_source = [], 0, None, n_items
+    for size in sizes:
+        begin = f.tell()
+        level, greedy = _Level(f, deflation), Greedy(size)
+        for data in _inflated(f, blocks if source is None else source.blocks):
+            if source is None:
+                chrom, starts, ends, values = decode(data)
+                found = greedy.feed(chrom, Records.of(starts, ends, values))
+            else:
+                items = np.frombuffer(data, _ZOOM)
+                found = greedy.feed(int(items["chrom"][0]), Records(*(items[c].astype(np.int64 if c in ("start", "end", "bases") else np.float64) for c in Records._fields)))
+            for chrom, r in found:
+                level.put(chrom, r)
+        for chrom, r in greedy.close():
+            level.put(chrom, r)
+        level._flush(True)
+        if level.n >= n_source:
+            f.seek(begin)
+            f.truncate()
+            continue
+        out.append((size, *level.close()))
+        largest, source, n_source = max(largest, level.largest), level, level.n
+    return out, largest
+
+
+def write_file(path: str, chroms: list[tuple[str, int]], batches: Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]], level: int = 6, zooms: int = MOST_ZOOMS) -> None:
+    """A bigWig with at most ``zooms`` zoom levels from (chromosome number, starts, ends, values) in order; published by a rename.
+
+    Data goes out as it comes; zoom levels are made from the blocks written, so a batch and a block are in memory at a time.
+    """
     import os
     import uuid
 
     draft = f"{path}.{uuid.uuid4().hex}"
-    blocks, largest = [], 0
+    blocks, largest, n_items = [], 0, 0
     bases, least, most, total, squares = 0, np.inf, -np.inf, 0.0, 0.0
     last = (-1, 0)
-    with open(draft, "wb") as f:
-        f.write(b"\0" * 104 + _tree([n for n, _ in chroms], [k for _, k in chroms]))
+    top = 64 + 24 * MOST_ZOOMS  # zoom headers have room for all levels
+    with open(draft, "w+b") as f:
+        f.write(b"\0" * (top + 40) + _tree([n for n, _ in chroms], [k for _, k in chroms]))
         data = f.tell()
         f.write(b"\0" * 8)
         for chrom, starts, ends, values in batches:
@@ -200,13 +309,12 @@ def write_file(path: str, chroms: list[tuple[str, int]], batches: Iterator[tuple
                 if (chrom, int(s[0])) < last or (s[1:] < e[:-1]).any() or (e <= s).any() or e[-1] > chroms[chrom][1]:
                     raise ValueError(f"intervals of {chroms[chrom][0]} overlap, are out of order or lie beyond its end")
                 last = (chrom, int(e[-1]))
-                items = np.empty(len(s), "<u4,<u4,<f4")
-                items["f0"], items["f1"], items["f2"] = s, e, v
-                body = struct.pack("<IIIIIBBH", chrom, int(s[0]), int(e[-1]), 0, 0, BEDGRAPH, 0, len(s)) + items.tobytes()
+                body = encode(chrom, s, e, v)
                 largest = max(largest, len(body))
                 packed = zlib.compress(body, level)
                 blocks.append((chrom, int(s[0]), int(e[-1]), f.tell(), len(packed)))
                 f.write(packed)
+                n_items += len(s)
                 n = (e - s).astype(np.float64)
                 bases += int(n.sum())
                 least, most = min(least, float(v.min())), max(most, float(v.max()))
@@ -214,10 +322,27 @@ def write_file(path: str, chroms: list[tuple[str, int]], batches: Iterator[tuple
                 squares += float((n * v.astype(np.float64) ** 2).sum())
         index = f.tell()
         f.write(_index(blocks, index, index))
+        sizes = zoom_sizes(bases / n_items, max(k for _, k in chroms), zooms) if n_items and zooms else []
+        levels, widest = _zoom_levels(f, sizes, blocks, n_items, level)
         f.write(struct.pack("<I", MAGIC))
         f.seek(data)
         f.write(struct.pack("<Q", len(blocks)))
         f.seek(0)
-        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, 0, 104, data, index, 0, 0, 0, 64, largest, 0))
+        f.write(struct.pack("<IHHQQQHHQQIQ", MAGIC, 4, len(levels), top + 40, data, index, 0, 0, 0, top, max(largest, widest), 0))
+        for size, at, of in levels:
+            f.write(struct.pack("<IIQQ", size, 0, at, of))
+        f.seek(top)
         f.write(struct.pack("<Qdddd", bases, least if bases else 0.0, most if bases else 0.0, total, squares))
     os.replace(draft, path)
+
+
+def read_zooms(path: str) -> dict[int, np.ndarray]:
+    """{reduction size: records} of a file's zoom levels."""
+    path = path.removeprefix("file://")
+    head, out = Header(path), {}
+    with open(path, "rb") as f:
+        f.seek(64)
+        table = [struct.unpack("<IIQQ", f.read(24)) for _ in range(head.zooms)]
+        for size, _, _, index in table:
+            out[size] = np.concatenate([np.frombuffer(d, _ZOOM) for d in _inflated(f, sorted(head._blocks(f, index)))])
+    return out

@@ -172,6 +172,68 @@ def test_fibers(spark):
     assert [(r.pos, r.probability) for r in fibers.modifications(reads, "m6a", 100).collect()] == [(13, 200)]
 
 
+def plain_greedy(rows, size):
+    """Zoom records by a plain loop; rows: (key, start, end, bases, least, most, total, squares) in order."""
+    out = []
+    for key, start, end, bases, least, most, total, squares in rows:
+        if not out or out[-1][0] != key or start >= out[-1][1] + size:
+            out.append([key, start, end, bases, least, most, total, squares])
+        else:
+            r = out[-1]
+            out[-1] = [key, r[1], max(r[2], end), r[3] + bases, min(r[4], least), max(r[5], most), r[6] + total, r[7] + squares]
+    return out
+
+
+def test_bigwig_sections_and_zooms(tmp_path):
+    g = np.random.default_rng(3)
+    pieces, rows = [], []
+    for chrom in (0, 1):
+        starts = np.cumsum(g.integers(3, 60, 5000))
+        ends = starts + g.integers(1, 3, 5000)
+        values = g.integers(0, 90, 5000).astype(float)
+        pieces += [(chrom, starts[i : i + 700], ends[i : i + 700], values[i : i + 700]) for i in range(0, 5000, 700)]
+        rows += [(chrom, int(s), int(e), int(e - s), v, v, (e - s) * v, (e - s) * v * v) for s, e, v in zip(starts, ends, values, strict=True)]
+    path, chroms = str(tmp_path / "z.bw"), [("a", 400_000), ("b", 300_000)]
+    bigwig.write_file(path, chroms, iter(pieces))
+    found = bigwig.read_zooms(path)
+    sizes = sorted(found)
+    assert sizes[0] == max(10, int(16 * sum(r[3] for r in rows) / len(rows))) and len(sizes) > 3 and all(b == 4 * a for a, b in zip(sizes, sizes[1:], strict=False))
+    want = rows
+    for size in sizes:
+        want = plain_greedy(want, size)
+        assert len(found[size]) == len(want) and [tuple(x) for x in found[size].tolist()] == [tuple(np.float32(v) if i > 3 else v for i, v in enumerate(r)) for r in want]
+    header = bigwig.Header(path)
+    assert header.zooms == len(sizes) and sum(len(x[1]) for x in map(bigwig.decode, blocks_of(path, header))) == len(rows)
+    bigwig.write_file(path, chroms, iter([(0, np.arange(5), np.arange(5) + 1, np.ones(5))]), zooms=0)
+    assert bigwig.Header(path).zooms == 0
+
+
+def blocks_of(path, header):
+    import zlib
+
+    with open(path, "rb") as f:
+        for *_, offset, size in header.blocks:
+            f.seek(offset)
+            yield zlib.decompress(f.read(size))
+
+
+def test_section_kinds():
+    at, v = np.arange(4) * 10, np.array([1.0, 2, 3, 4])
+    ragged = np.array([0, 5, 30, 31])
+    for starts, ends, kind in ((at, at + 3, bigwig.FIXED_STEP), (ragged, ragged + 1, bigwig.VARIABLE_STEP), (at, at + np.array([1, 2, 1, 3]), bigwig.BEDGRAPH), (at[:1], at[:1] + 7, bigwig.FIXED_STEP)):
+        body = bigwig.encode(2, starts, ends, v[: len(starts)])
+        chrom, s, e, got = bigwig.decode(body)
+        assert body[20] == kind and chrom == 2 and s.tolist() == starts.tolist() and e.tolist() == ends.tolist() and got.tolist() == v[: len(starts)].tolist()
+
+
+def test_files_are_not_overwritten(spark, signal, tmp_path):
+    path = {0: str(tmp_path / "a.bw")}
+    write_bigwigs(signal, AXES, path)
+    with pytest.raises(FileExistsError):
+        write_bigwigs(signal, AXES, path)
+    write_bigwigs(signal, AXES, path, force=True)
+
+
 def test_mates_wait_for_their_partners(spark):
     """Against a plain loop: repeats, also after the partner, and several pairs of one name."""
     import random
