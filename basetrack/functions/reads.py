@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,25 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(base_name(path), r"(?i)\.(bam|sam|bed|tsv|txt|bw|bigwig|bigWig)(\.gz)?$", "")
 
 
+def plain_stem(path: str) -> str:
+    """As ``stem``, of one path."""
+    return re.sub(r"(?i)\.(bam|sam|bed|tsv|txt|bw|bigwig)(\.gz)?$", "", path.rsplit("/", 1)[-1])
+
+
+def file_names(names: list[str]) -> list[str]:
+    """Names of tracks as names of files: no path separators, and the place of a track appended to a name that is taken."""
+    out: list[str] = []
+    for i, name in enumerate(names):
+        plain = name.replace("/", "_").replace("\\", "_")
+        out.append(plain if plain not in out else f"{plain}.{i}")
+    return out
+
+
+def printable(text: str) -> str:
+    """Control characters as escapes, for print."""
+    return "".join(c if c.isprintable() else c.encode("unicode_escape").decode() for c in text)
+
+
 def pair_index(i: Column, j: Column, first_i: int, first_j: int, n: int) -> Column:
     """A cell of a window of a contact matrix as one number."""
     return (i - first_i) * n + (j - first_j)

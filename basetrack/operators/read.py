@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +49,11 @@ def entries(windows: DataFrame, signal: DataFrame, channels: DataFrame, tile: in
     return bases.join(channels, bases["s_track_id"] == channels["track_id"]).select("window_id", "channel", (F.col("pos") - F.col("start")).alias("offset"), F.col("s_value").alias("value"))
 
 
-def read_sparse(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Nonzero and NaN bases of the windows, within their chromosomes: row, channel, offset, value."""
+def read_sparse(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channels: DataFrame, tile: int = TILE, ordered: bool = False) -> DataFrame:
+    """Nonzero and NaN bases of the windows, within their chromosomes: row, channel, offset, value; ``ordered`` by the first three."""
     found = entries(_clipped(windows, chroms), signal, channels, tile).where((F.col("value") != 0) | F.isnan("value"))
-    return found.select(F.col("window_id").alias("row"), "channel", "offset", "value")
+    out = found.select(F.col("window_id").alias("row"), "channel", "offset", "value")
+    return out.orderBy("row", "channel", "offset") if ordered else out
 
 
 def _clipped(windows: DataFrame, chroms: DataFrame) -> DataFrame:
@@ -94,6 +97,27 @@ def packed(dense: DataFrame) -> DataFrame:
     return dense.groupBy("window_id", "channel").agg(F.transform(cells, lambda x: x["value"]).alias("values"))
 
 
+def batches(arrays: DataFrame, channels: int, width: int, size: int, out: np.ndarray | None = None) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(window ids, values of shape (size, channels, width)) of ``packed`` reads in order of window, for training; the last batch may be smaller.
+
+    Partitions come to the driver one after another, so one of them and a batch are in memory.  With ``out`` every batch is
+    read into that array, which must have the shape and hold floats.
+    """
+    if out is not None and (out.shape != (size, channels, width) or out.dtype.kind != "f"):
+        raise ValueError(f"out is {out.dtype} of {out.shape}, not floats of {(size, channels, width)}")
+    rows = arrays.groupBy("window_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "values"))), lambda x: x["values"]).alias("all")).orderBy("window_id")
+    ids: list[int] = []
+    room = np.empty((size, channels, width)) if out is None else out
+    for r in rows.toLocalIterator(prefetchPartitions=True):
+        room[len(ids)] = r["all"]
+        ids.append(r["window_id"])
+        if len(ids) == size:
+            yield ids, room if out is not None else room.copy()
+            ids = []
+    if ids:
+        yield ids, room[: len(ids)]
+
+
 def binned_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channels: DataFrame, width: int, bins: int, by: str = "channel", tile: int = TILE) -> DataFrame:
     """Sums per bin of ``bins`` bases; runs are cut at bin edges, bases are never listed.  ``by``: channel or label."""
     if width % bins:

@@ -13,6 +13,7 @@ from basetrack.operators.overlap import split_at_tiles
 from basetrack.schema import DTYPES, TILE
 
 MOST_LEVELS = 12
+LARGEST_FLOAT = (2 - 2**-23) * 2.0**127
 RECORDS = "start long, end long, bases long, least double, most double, total double, squares double"
 
 
@@ -49,11 +50,13 @@ def infer_dtypes(signal: DataFrame) -> DataFrame:
 
 def out_of_range(signal: DataFrame, tracks: DataFrame) -> DataFrame:
     """Tracks (track_id, dtype) whose values don't fit the declared type, with their least and most value."""
-    s = signal.groupBy("track_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.bool_or((F.col("value") != F.floor("value")) | F.isnan("value")).alias("fraction"))
+    finite = F.when(~F.isnan("value"), F.col("value"))
+    s = signal.groupBy("track_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(finite).alias("finite_lo"), F.max(finite).alias("finite_hi"), F.bool_or((F.col("value") != F.floor("value")) | F.isnan("value")).alias("fraction"))
     joined, bad = s.join(tracks.select("track_id", "dtype"), "track_id"), F.lit(False)
     for name, (_, lo, hi) in DTYPES.items():
         if not name.startswith("float"):
             bad = bad | ((F.col("dtype") == name) & (F.col("fraction") | (F.col("lo") < lo) | (F.col("hi") > hi)))
+    bad = bad | ((F.col("dtype") == "float32") & (F.greatest(F.abs("finite_lo"), F.abs("finite_hi")) > LARGEST_FLOAT))
     return joined.where(bad)
 
 

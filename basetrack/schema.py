@@ -12,6 +12,7 @@ LONGEST = 2**32 - 1
 EXACT = 2**53
 TILE = 16_384
 LEAST_TILE, MOST_TILE = 16, 65_536
+MOST_TILES = 2**26
 
 CHROMS = T.StructType([T.StructField("chrom_id", T.IntegerType()), T.StructField("chrom", T.StringType()), T.StructField("length", T.LongType()), T.StructField("tile_offset", T.LongType())])
 TRACKS = T.StructType([T.StructField("track_id", T.IntegerType()), T.StructField("name", T.StringType()), T.StructField("dtype", T.StringType()), T.StructField("group_id", T.IntegerType()), T.StructField("attrs", T.StringType())])
@@ -84,6 +85,13 @@ def check_tile(tile: int) -> int:
     return tile
 
 
+def check_genome(chroms: Iterable[tuple[str, int]], tile: int) -> None:
+    """All chromosomes together have at most MOST_TILES tiles."""
+    tiles = sum(-(-length // tile) for _, length in chroms)
+    if tiles > MOST_TILES:
+        raise ValueError(f"{tiles} tiles of {tile} are more than {MOST_TILES}")
+
+
 def _finite(value: object) -> bool:
     if isinstance(value, float):
         return math.isfinite(value)

@@ -294,6 +294,7 @@ def write_file(path: str, chroms: list[tuple[str, int]], batches: Iterator[tuple
     import os
     import uuid
 
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     draft = f"{path}.{uuid.uuid4().hex}"
     blocks, largest, n_items = [], 0, 0
     bases, least, most, total, squares = 0, np.inf, -np.inf, 0.0, 0.0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basetrack.schema import check_chroms
 
@@ -50,9 +53,16 @@ def read_chrom_sizes(spark: SparkSession, path: str) -> list[tuple[str, int]]:
         heads = lines.where(F.col("value").startswith(">")).select(F.split(F.substring("value", 2, 1 << 20), r"\s+")[0].alias("chrom"), "i").orderBy("i").collect()  # the chromosomes
         if not heads:
             return check_chroms([])
-        starts = [h["i"] for h in heads]
-        which = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("i")))
-        sizes = {r["k"]: r["n"] for r in lines.where(~F.col("value").startswith(">")).groupBy(which.alias("k")).agg(F.sum(F.length(F.trim("value"))).alias("n")).collect()}
+        # the name of a line's record is the last head before it: found in ranges of lines, and by the last head of earlier ranges
+        head = F.when(F.col("value").startswith(">"), F.col("i"))
+        part = F.shiftright("i", 12)
+        marked = lines.select("value", "i", head.alias("head"), part.alias("part"))
+        last = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        before = marked.groupBy("part").agg(F.max("head").alias("h")).select("part", F.max("h").over(last).alias("before"))  # a row for 4,096 lines
+        within = F.max("head").over(Window.partitionBy("part").orderBy("i"))
+        owned = marked.join(before, "part").select("value", "head", F.coalesce(within, F.col("before")).alias("of"))
+        found = {r["of"]: r["n"] for r in owned.where("head is null").groupBy("of").agg(F.sum(F.length(F.trim("value"))).alias("n")).collect()}
+        sizes = {k + 1: found.get(h["i"], 0) for k, h in enumerate(heads)}
         return check_chroms([(h["chrom"], sizes.get(k + 1, 0)) for k, h in enumerate(heads)])
     rows = _fields(spark, path).orderBy("ordinal").collect()  # the chromosomes
     return check_chroms([(r["f"][0], int(float(r["f"][1]))) for r in rows])
@@ -68,3 +78,22 @@ def read_metadata(spark: SparkSession, path: str, key: str = "file") -> DataFram
     if bad:
         raise ValueError(f"{path}: {key} {bad[0][0]!r} is empty or given twice")
     return table
+
+
+def write_metadata(spark: SparkSession, path: str, rows: list[tuple[str, str, dict]], force: bool = False) -> None:
+    """A table of tracks as tab-separated text: file, name and a column for each attribute; rows: (file, name, attributes)."""
+    keys = list(dict.fromkeys(k for _, _, a in rows for k in a if k not in ("file", "name")))
+    cell = lambda v: "" if v is None else v if isinstance(v, str) else json.dumps(v)
+    table = [(file, name, *(cell(a.get(k)) for k in keys)) for file, name, a in rows]
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("file", "name", *keys)])
+    spark.createDataFrame(table, schema).coalesce(1).write.mode("overwrite" if force else "errorifexists").csv(path, sep="\t", header=True)
+
+
+def read_barcodes(spark: SparkSession, path: str) -> DataFrame:
+    """(cell, track_id) of a list of barcodes, in its order; a barcode that is listed twice is an error."""
+    cells = [r[0].split("\t")[0].strip() for r in spark.read.text(path).collect()]  # the cells that a caller lists
+    cells = [c for c in cells if c and not c.startswith("#")]
+    twice = sorted({c for c in cells if cells.count(c) > 1}) if len(set(cells)) < len(cells) else []
+    if twice:
+        raise ValueError(f"barcodes listed twice: {', '.join(twice[:5])}")
+    return spark.createDataFrame(list(zip(cells, range(len(cells)), strict=True)), "cell string, track_id long")

@@ -328,3 +328,79 @@ def test_command_line(spark, tmp_path, capsys):
     cli.main(["count", str(tmp_path / "a.bed"), "-s", str(tmp_path / "sizes"), "-o", str(tmp_path / "w"), "--bigwig"])
     cli.main(["import", f"{tmp_path}/w.signal+.bw", f"{tmp_path}/w.signal-.bw", "-o", f"file://{tmp_path}/back"])
     assert dataset.open_dataset(spark, f"file://{tmp_path}/back").tracks.count() == 2
+
+
+def test_converters(spark, signal, tmp_path):
+    """Files to tracks one by one, cells, append, selection and the metadata table."""
+    from basetrack import cli
+
+    (tmp_path / "sizes").write_text("chr1\t100\nchr2\t50\n")
+    (tmp_path / "a.bed").write_text("chr1\t5\t9\tx\t0\t+\nchr1\t5\t19\tx\t0\t+\nchr2\t60\t62\tx\t0\t+\n")
+    (tmp_path / "b.bed").write_text("chr2\t7\t9\tx\t0\t+\n")
+    (tmp_path / "meta.tsv").write_text("file\tassay\na.bed\tatac\nb.bed\t\n")
+    out = f"file://{tmp_path}/files"
+    cli.main(["count", str(tmp_path / "a.bed"), str(tmp_path / "b.bed"), "-s", str(tmp_path / "sizes"), "-o", out, "--per-file", "--unstranded", "--metadata", str(tmp_path / "meta.tsv")])
+    ds = dataset.open_dataset(spark, out)
+    assert [(r["name"], r["attrs"]) for r in ds.tracks.orderBy("track_id").collect()] == [("a+", '{"file": "a.bed", "assay": "atac"}'), ("b+", '{"file": "b.bed"}')]
+    assert sorted((r.chrom, r.start, r.track_id, r.value) for r in ds.signal.collect()) == [("chr1", 5, 0, 2.0), ("chr2", 7, 1, 1.0)]
+    cli.main(["export", out, "-o", str(tmp_path / "bw"), "--select", "assay=atac"])
+    assert [tuple(r) for r in text.read_metadata(spark, f"{tmp_path}/bw/metadata.tsv").collect()] == [("a+.bw", "a+", "atac")]
+    with pytest.raises(FileExistsError):
+        cli.main(["export", out, "-o", str(tmp_path / "bw"), "-t", "a+"])
+    with pytest.raises(ValueError, match="no track"):
+        cli.main(["export", out, "-o", str(tmp_path / "bw2"), "-t", "zz"])
+    (tmp_path / "bw" / "more.bw").write_bytes((tmp_path / "bw" / "a+.bw").read_bytes())
+    cli.main(["import", f"{tmp_path}/bw/more.bw", "-o", out, "--append"])
+    more = dataset.open_dataset(spark, out)
+    assert more.number == ds.number + 1 and more.tracks.count() == 3 and ds.tracks.count() == 2
+    assert sorted((r.chrom, r.start, r.track_id, r.value) for r in more.signal.collect()) == [("chr1", 5, 0, 2.0), ("chr1", 5, 2, 2.0), ("chr2", 7, 1, 1.0)]
+    assert [(r.track_id, r["sum"]) for r in more.tile_sums_within("chr1", 0, 9).orderBy("track_id").collect()] == [(0, 2.0), (2, 2.0)] and more.zooms.where("level = 1").count() == 3
+    (tmp_path / "f.tsv").write_text("chr1\t5\t9\tBB\nchr1\t5\t7\tAA\nchr2\t8\t99\tBB\n")
+    (tmp_path / "cells").write_text("AA\nCC\nBB\n")
+    cli.main(["cells", str(tmp_path / "f.tsv"), "-s", str(tmp_path / "sizes"), "-o", f"file://{tmp_path}/cells_out", "--cells", str(tmp_path / "cells")])
+    got = dataset.open_dataset(spark, f"file://{tmp_path}/cells_out")
+    assert sorted((r.chrom, r.start, r.track_id) for r in got.signal.collect()) == [("chr1", 5, 0), ("chr1", 5, 2), ("chr1", 6, 0), ("chr1", 8, 2), ("chr2", 8, 2)]
+
+
+def test_writers_at_once_and_loader(spark, signal, tmp_path):
+    from basetrack.operators import read
+
+    path = f"file://{tmp_path}/d"
+    ds = dataset.write_dataset(spark, path, AXES, ["a", "b"], signal)
+    dataset.append_tracks(ds, ["c"], signal.where("track_id = 0"))
+    with pytest.raises(OSError, match="another"):
+        dataset.append_tracks(ds, ["d"], signal.where("track_id = 0"))
+    windows = spark.createDataFrame([(i, AXES[0][0], i, i + 8) for i in range(5)], "window_id long, chrom string, start long, end long")
+    channels = spark.createDataFrame([(0, 0), (1, 1)], "channel int, track_id int")
+    dense = read.packed(read.read_dense(windows, ds.signal, ds.chroms, channels, 8))
+    got = list(read.batches(dense, 2, 8, 2))
+    assert [ids for ids, _ in got] == [[0, 1], [2, 3], [4]] and [v.shape for _, v in got] == [(2, 2, 8), (2, 2, 8), (1, 2, 8)]
+    want = {(r.window_id, r.channel): r["values"] for r in dense.collect()}
+    assert all(np.array_equal(v[k, c], want[i, c], equal_nan=True) for ids, v in got for k, i in enumerate(ids) for c in (0, 1))
+    with pytest.raises(ValueError, match="shape|not floats"):
+        next(read.batches(dense, 2, 8, 2, np.zeros((1, 2, 8))))
+
+
+def test_batches_keep_marks(spark, tmp_path):
+    from basetrack.streaming import append
+
+    path = f"file://{tmp_path}/s"
+    rows = lambda *r: spark.createDataFrame(list(r), "chrom string, start long, end long, track_id int, value double")
+    chroms = spark.createDataFrame([("c", 100)], "chrom string, length long")
+    append.append_batch(rows(("c", 0, 5, 0, 1.0), ("c", 9, 12, 0, 2.0)), 0, path, chroms, 16)
+    append.append_batch(rows(("c", 0, 5, 0, 1.0), ("c", 9, 12, 0, 2.0)), 0, path, chroms, 16)  # again, as after a lost driver
+    for bad, what in (((("c", 12, 13, 0, 1.0),), "before"), ((("c", 20, 30, 0, 1.0), ("c", 25, 31, 0, 1.0)), "overlap"), ((("z", 20, 30, 0, 1.0),), "unknown"), ((("c", 90, 101, 0, 1.0),), "unknown")):
+        with pytest.raises(ValueError, match=what):
+            append.append_batch(rows(*bad), 1, path, chroms, 16)
+    append.append_batch(rows(("c", 16, 17, 0, 3.0), ("c", 1, 2, 1, 4.0)), 1, path, chroms, 16)
+    assert {r.track_id: (r.total, r.nonzero, r.most) for r in append.statistics(spark, path).collect()} == {0: (14.0, 9, 3.0), 1: (4.0, 1, 4.0)}
+    assert spark.read.parquet(f"{path}/signal").count() == 4
+
+
+def test_fasta_lengths(spark, tmp_path):
+    (tmp_path / "x.fa").write_text(">a one\nACGT\nAC\n>b\n>c\n" + "ACGTACGTAC\n" * 9000)
+    assert_lengths = [("a", 6), ("c", 90_000)]
+    with pytest.raises(ValueError):
+        text.read_chrom_sizes(spark, str(tmp_path / "x.fa"))  # b is empty
+    (tmp_path / "y.fa").write_text(">a one\nACGT\nAC\n>c\n" + "ACGTACGTAC\n" * 9000)
+    assert text.read_chrom_sizes(spark, str(tmp_path / "y.fa")) == assert_lengths
