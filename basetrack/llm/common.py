@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised kernel takes at once; working arrays are about 40 times this.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch: 10,000 long documents, Spark's own bound, may be gigabytes.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 #: Folders made by this process and not yet removed.
@@ -89,18 +93,20 @@ HOT_KEYS, HOT_ROWS = 1024, 256
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table``, a row for each key, whose ``weight`` is the number of ``rows`` with that key; ``total``: of all rows.
 
-    Rows of hot keys meet them by broadcast, as at most HOT_KEYS keys can be hot, and then go on by the column ``spread``, so that no task gets
+    Keys aren't null.  Rows of hot keys meet them by broadcast, as at most HOT_KEYS keys can be hot, and then go on by the column ``spread``, so that no task gets
     all rows of a key.  Others meet by an ordinary join.  ``rows`` are read once.
     """
     limit = max(HOT_ROWS, total // HOT_KEYS)
     others = [c for c in table.columns if c not in keys]
     value = F.struct(*others)
     hot = table.where(F.col(weight) >= limit).select(*(F.col(k).alias(f"hot_{k}") for k in keys), value.alias("hot_value"))
-    cold = table.where(F.col(weight) < limit).select(*(F.col(k).alias(f"cold_{k}") for k in keys), F.lit(0).cast("long").alias("cold_spread"), value.alias("cold_value"))
+    # one key of all parts: as a column of its own the spread of the table's side, a constant, would be taken out of the join's keys
+    key = lambda parts, away: F.struct(*(x.alias(f"k{i}") for i, x in enumerate(parts)), away.cast("long").alias("spread"))
+    cold = table.where(F.col(weight) < limit).select(key(map(F.col, keys), F.lit(0)).alias("cold_key"), value.alias("cold_value"))
     marked = rows.join(F.broadcast(hot), [F.col(k) == F.col(f"hot_{k}") for k in keys], "left")
     away = F.col("hot_value").isNotNull()
-    sent = marked.withColumns({f"sent_{k}": F.when(~away, F.col(k)) for k in keys} | {"sent_spread": F.when(away, F.xxhash64(spread)).otherwise(F.lit(0).cast("long"))})
-    met = sent.join(cold, [F.col(f"sent_{k}") == F.col(f"cold_{k}") for k in (*keys, "spread")], "left")
+    sent = marked.withColumn("sent_key", key((F.when(~away, F.col(k)) for k in keys), F.when(away, F.xxhash64(spread)).otherwise(0)))
+    met = sent.join(cold, F.col("sent_key") == F.col("cold_key"), "left")
     out = met.withColumn("got", F.coalesce("hot_value", "cold_value"))
     if how == "inner":
         out = out.where("got is not null")
@@ -108,8 +114,10 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, to
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once a session: they need no installed copy."""
+    """Give executors this package, once a session (they need no installed copy), and bound the Arrow batches that they get by bytes."""
     sc = spark.sparkContext
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH_SETTING)) > BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     if getattr(sc, "_basetrack_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
@@ -137,6 +145,16 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str, most: int = CHUNK_BYT
             hi = max(int(np.searchsorted(ends, before + most, side="right")), lo + 1)
             yield batch.slice(lo, hi - lo)
             lo = hi
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker is kept for the tasks of later stages, beside theirs."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
