@@ -13,17 +13,18 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basetrack.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from basetrack.llm.common import materialise, shared_dir, table
+from basetrack.llm.common import folders, materialise, release, shared_dir, table
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = toxicity.fit(table(spark, sf_dir, "documents"), labels.where(~toxicity.held_out(labels["doc_id"])))
     others = tuple(c for c in docs.columns if c != "doc_id")
-    score = "toxicity_score" if "score" in others else "score"
-    return toxicity.score(docs, model, keep=others).where(f"{score} < 0.5").select(*docs.columns)
+    scored = toxicity.score(docs, model, keep=others)
+    return scored.where(F.col(scored.columns[-2]) < 0.5).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +52,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark)
     docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        docs = materialise(out, folder, f"stage-{i}") if i + 1 < len(STAGES) else out
-    return docs
+    for i, (_, stage) in enumerate(STAGES[:-1]):
+        before = folders()
+        docs = materialise(stage(spark, docs, sf_dir), folder, f"stage-{i}")
+        release(spark, (x for x in folders() if x not in before))  # a written stage needs its steps no more
+    return STAGES[-1][1](spark, docs, sf_dir)
