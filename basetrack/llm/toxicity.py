@@ -20,6 +20,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -279,7 +280,7 @@ class Scorer:
 
 
 #: Window starts of one sweep: its states stay in a core's cache.
-SWEEP_STARTS = 1024
+SWEEP_STARTS = 2048
 
 
 class Sweep:
@@ -294,52 +295,57 @@ class Sweep:
         self.h, self.window = h, window
         self.gates = [np.ascontiguousarray((x * half).T) for x in inputs]
         self.u = [(np.ascontiguousarray((p[k] * half)[:, : 2 * h].T), np.ascontiguousarray(p[k][:, 2 * h :].T) * np.float32(0.5)) for k in ("uf", "ub")]
-        self.read = np.ascontiguousarray(np.concatenate([p["aw"], p["ow"]], 1).T)  # what attention and the output take from a state
-        self.ab, self.av, self.ob = p["ab"][:, None], np.ascontiguousarray(p["av"].T), p["ob"][0]
+        # what attention and the output take from a state; the last column is the bias, for a row of ones
+        self.read = np.ascontiguousarray(np.concatenate([np.concatenate([p["aw"], p["ow"]], 1), np.append(p["ab"], 0)[None, :]], 0).T.astype(np.float32))
+        self.av, self.ob = np.ascontiguousarray(p["av"].T), p["ob"][0]
+
+    def _step(self, side: int, gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
+        """The state after one more word of every window, into ``out``; a and c are room for gates and candidates."""
+        h, (u_zr, u_c) = self.h, self.u[side]
+        if state is None:
+            np.tanh(gates[: 2 * h], out=a)
+            a += np.float32(1)  # twice the gates
+            np.tanh(gates[2 * h :], out=c)
+            c *= a[:h]
+            np.multiply(c, np.float32(0.5), out=out)
+            return
+        np.matmul(u_zr, state, out=a)
+        a += gates[: 2 * h]
+        np.tanh(a, out=a)
+        a += np.float32(1)
+        reset = a[h:]
+        reset *= state
+        np.matmul(u_c, reset, out=c)
+        c += gates[2 * h :]
+        np.tanh(c, out=c)
+        c -= state
+        c *= a[:h]
+        c *= np.float32(0.5)
+        np.add(state, c, out=out)
 
     def logits(self, which: np.ndarray, n: int) -> np.ndarray:
         h, t = self.h, self.window
-        states = np.empty((t, 2 * h, n), np.float32)
-        a, c, inner = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((h, n), np.float32)
-        for side in (0, 1):
-            gates, (u_zr, u_c) = np.take(self.gates[side], which, axis=1), self.u[side]
-            own = slice(side * h, side * h + h)
-            state = None
-            for i in range(t) if side == 0 else range(t - 1, -1, -1):
-                g = gates[:, i : i + n]
-                if state is None:
-                    np.copyto(a, g[: 2 * h])
-                    np.copyto(c, g[2 * h :])
-                else:
-                    np.matmul(u_zr, state, out=a)
-                    a += g[: 2 * h]
-                np.tanh(a, out=a)
-                a += np.float32(1)  # twice the gates
-                if state is not None:
-                    np.multiply(a[h:], state, out=inner)
-                    np.matmul(u_c, inner, out=c)
-                    c += g[2 * h :]
-                np.tanh(c, out=c)
-                new = states[i, own]
-                if state is not None:
-                    c -= state
-                c *= a[:h]
-                np.multiply(c, np.float32(0.5), out=new)
-                if state is not None:
-                    new += state
-                state = new
-        weight, value = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
-        seen = np.empty((2 * h + 1, n), np.float32)
+        forward = np.empty((t, h, n), np.float32)
+        a, c, seen = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((2 * h + 1, n), np.float32)
+        gates = np.take(self.gates[0], which, axis=1)
         for i in range(t):
-            np.matmul(self.read, states[i], out=seen)
+            self._step(0, gates[:, i : i + n], forward[i - 1] if i else None, forward[i], a, c)
+        gates = np.take(self.gates[1], which, axis=1)
+        weight, value = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
+        both = np.ones((2 * h + 1, n), np.float32)  # the states of a word and a row of ones
+        back = both[h : 2 * h]
+        for i in range(t - 1, -1, -1):
+            self._step(1, gates[:, i : i + n], back if i + 1 < t else None, back, a, c)
+            both[:h] = forward[i]
+            np.matmul(self.read, both, out=seen)
             value[i] = seen[2 * h]
             act = seen[: 2 * h]
-            act += self.ab
             np.tanh(act, out=act)
             np.matmul(self.av, act, out=weight[i : i + 1])
         weight -= weight.max(0)
         np.exp(weight, out=weight)
-        return (weight * value).sum(0) / weight.sum(0) + self.ob
+        value *= weight
+        return value.sum(0) / weight.sum(0) + self.ob
 
 
 class Adam:
@@ -546,10 +552,12 @@ def score(docs: DataFrame, model: dict | float, net: Net = Net(), keep: tuple[st
             if scorer is None:
                 value, count = np.full(n, p), np.zeros(n, np.int64)
             else:
-                s = scorer.prepare(part.column("text"))
-                top = np.full(n, -30.0, np.float32)
+                texts = pc.fill_null(part.column("text"), "").dictionary_encode()  # copies side by side are scored once
+                which, own = np.asarray(texts.indices), len(texts.dictionary)
+                s = scorer.prepare(texts.dictionary)
+                top = np.full(own, -30.0, np.float32)
                 np.maximum.at(top, s["row"], scorer.logits(s))
-                value, count = _sigmoid(top.astype(np.float64) - p["shift"][0]), np.bincount(s["row"], minlength=n)
+                value, count = _sigmoid(top.astype(np.float64) - p["shift"][0])[which], np.bincount(s["row"], minlength=own)[which]
             names = part.schema.names[1:]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(value, pa.float64()), pa.array(count, pa.int64())], names=[*names, "score", "n_windows"])
 
