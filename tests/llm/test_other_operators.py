@@ -132,9 +132,10 @@ def test_toxicity_held_out(spark, toxic_rows):
 def test_toxicity_edge_cases(spark, docs, no_docs, toxic_rows):
     p = toxicity.train([r[1] for r in toxic_rows[:200]], [r[2] for r in toxic_rows[:200]], toxicity.Net())
     others = tuple(c for c in docs.columns if c != "doc_id")
-    out = toxicity.score(docs, p, keep=())
-    assert out.count() == 13 and all(0 <= r.score <= 1 for r in out.collect())
-    assert others and toxicity.score(no_docs, p).count() == 0
+    out = toxicity.score(docs, p, keep=others)
+    assert out.columns == ["doc_id", *others, "score_1", "n_windows"]
+    assert out.count() == 13 and all(0 <= r.score_1 <= 1 and r.score == (None if r.doc_id == 4 else "s") for r in out.collect())
+    assert toxicity.score(no_docs, p).count() == 0
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert toxicity.fit(docs, labels) == 0.0
 
@@ -186,3 +187,39 @@ def test_suffixes_of_two_labels_and_numeric_hosts(spark):
     assert {r.host: (r.domain, r.suffix) for r in df.select("host", domain.alias("domain"), suffix.alias("suffix")).collect()} == hosts
     domain, suffix = url_reputation.levels(F.col("host"), ("example.com",))
     assert [(r.d, r.s) for r in df.where("host = 'f.example.com'").select(domain.alias("d"), suffix.alias("s")).collect()] == [("f.example.com", "example.com")]
+
+
+def plain_logit(p, x):
+    """One window by plain loops; x: the inputs of its words."""
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(rows, w, u, b):
+        h = u.shape[0]
+        state, out = np.zeros(h), []
+        for row in rows:
+            gates = row @ w + b
+            z, r = sigmoid(gates[:h] + state @ u[:, :h]), sigmoid(gates[h : 2 * h] + state @ u[:, h : 2 * h])
+            c = np.tanh(gates[2 * h :] + (r * state) @ u[:, 2 * h :])
+            state = (1 - z) * state + z * c
+            out.append(state)
+        return out
+
+    states = [np.concatenate(s) for s in zip(run(x, p["wf"], p["uf"], p["bf"]), run(x[::-1], p["wb"], p["ub"], p["bb"])[::-1], strict=True)]
+    e = np.exp([float((np.tanh(s @ p["aw"] + p["ab"]) @ p["av"])[0]) for s in states])
+    return float((sum(a * s for a, s in zip(e / e.sum(), states, strict=True)) @ p["ow"])[0] + p["ob"][0])
+
+
+@pytest.mark.parametrize("starts", [7, 1024])
+def test_all_windows_equal_plain_loops(monkeypatch, starts):
+    monkeypatch.setattr(toxicity, "SWEEP_STARTS", starts)
+    net = toxicity.Net(window=6)
+    g = np.random.default_rng(4)
+    p = {k: v + g.standard_normal(v.shape).astype(np.float32) * np.float32(0.3) for k, v in toxicity.start(net).items()} | {"word": g.standard_normal((1, net.word_dim)).astype(np.float32)}
+    scorer = toxicity.Scorer(p, net)
+    texts = ["a few words", " ".join(f"w{i % 7}{'x' * (i % 5)}" for i in range(30)), "", "one two three four five six", " ".join(f"v{i}" for i in range(9))]
+    s = scorer.prepare(pa.array(texts))
+    got = scorer.logits(s)
+    ends, _ = toxicity.char_states(p, s["data"], s["lo"], s["hi"], net)
+    x = np.concatenate([p["word"][s["bucket"]], ends], 1)[s["which"]]
+    want = [plain_logit(p, x[a : a + n]) for a, n in zip(s["at"], s["length"], strict=True)]
+    assert len(want) == 1 + 25 + 1 + 4 and np.allclose(got, want, atol=1e-4)
