@@ -6,7 +6,7 @@ import warnings
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basetrack.operators.overlap import overlap_pairs
@@ -160,7 +160,9 @@ def label_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, labels:
 
 def arrange(tracks: DataFrame, item: str, channel: str) -> DataFrame:
     """Item x channel: the track of each pair, ranks by first appearance; every pair must be filled by exactly one track."""
-    rank = lambda c, out: tracks.groupBy(c).agg(F.min("track_id").alias("seen")).select(c, (F.row_number().over(Window.orderBy("seen")) - 1).alias(out))
+    from basetrack.operators.counting import ranked
+
+    rank = lambda c, out: ranked(tracks.groupBy(c).agg(F.min("track_id").alias("seen")), "seen", out).drop("seen")
     items, channels = rank(item, "item_rank"), rank(channel, "channel_rank")
     own = tracks.join(items, item).join(channels, channel)
     filled = own.groupBy("item_rank", "channel_rank").agg(F.min("track_id").alias("track_id"), F.count("*").alias("n"))

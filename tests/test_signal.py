@@ -173,3 +173,27 @@ def test_types():
     for bad in (["a", "a"], [{"name": "a", "group": 1}], [{"name": "a", "dtype": "int7"}], [{"name": "a", "x": float("nan")}]):
         with pytest.raises(ValueError):
             schema.check_tracks(bad)
+
+
+def test_ranges_in_blocks(spark):
+    """Union and overlap against plain loops, with ranges that span blocks and none that do."""
+    import random
+
+    from basetrack.operators import runs
+
+    r = random.Random(6)
+    rows = [(c, s, s + r.choice([1, 2, 3, 9, 70]), None if c == "b" else 1) for c in "ab" for s in r.sample(range(600), 60)]
+    df = spark.createDataFrame(rows, "chrom string, start long, end long, track_id int")
+    for block in (16, 64, 1 << 20):
+        union, over = [], set()
+        for c in "ab":
+            reach, own = None, sorted(x for x in rows if x[0] == c)
+            for x in own:
+                if reach is None or x[1] > reach:
+                    union.append([c, x[1], x[2]])
+                union[-1][2] = max(union[-1][2], x[2])
+                if reach is not None and reach > x[1]:
+                    over.add((c, x[1], reach))
+                reach = x[2] if reach is None else max(reach, x[2])
+        assert sorted((x.chrom, x.start, x.end) for x in runs.union_ranges(df, ("chrom",), block).collect()) == sorted(map(tuple, union))
+        assert {(x.chrom, x.start, x.reach) for x in runs.overlapping(df, ("chrom", "track_id"), block).collect()} == over
