@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basetrack.operators.overlap import overlap_pairs
-from basetrack.plans.prefix import range_totals
+from basetrack.plans.prefix import range_totals, window_runs
 from basetrack.schema import LONGEST, TILE
 
 #: Bins of this many bases and more are summed from running sums, smaller ones from the runs in them.
@@ -44,9 +44,14 @@ def check_known(windows: DataFrame, chroms: DataFrame, strict: bool = True) -> N
 
 def entries(windows: DataFrame, signal: DataFrame, channels: DataFrame, tile: int = TILE) -> DataFrame:
     """(window_id, channel, offset, value): stored bases of the windows; a track with several channels is read into each."""
-    pairs = overlap_pairs(windows, signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi"), tile)
-    bases = pairs.withColumn("pos", F.explode(F.sequence("lo", F.col("hi") - 1)))
-    return bases.join(channels, bases["s_track_id"] == channels["track_id"]).select("window_id", "channel", (F.col("pos") - F.col("start")).alias("offset"), F.col("s_value").alias("value"))
+    some = signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi")
+    bases = window_runs(windows, some, tile=tile).select("window_id", "track_id", F.explode_outer(_bases()).alias("b")).where("b is not null")
+    return bases.join(channels, "track_id").select("window_id", "channel", "b.offset", "b.value")
+
+
+def _bases() -> Column:
+    """The bases (offset, value) of ``pieces`` of a window that begins at ``start``."""
+    return F.flatten(F.transform("pieces", lambda r: F.transform(F.sequence(r["lo"], r["hi"] - 1), lambda p: F.struct((p - F.col("start")).alias("offset"), r["value"].alias("value")))))
 
 
 def read_sparse(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channels: DataFrame, tile: int = TILE, ordered: bool = False) -> DataFrame:
@@ -79,9 +84,8 @@ def read_dense(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channel
     every = channels.agg(F.collect_list(F.struct("channel", "track_id")).alias("all"))  # one row: the requested channels
     grid = windows.join(chroms.select("chrom", "length"), "chrom", "left").join(F.broadcast(every)).select("window_id", "start", "length", F.explode("all").alias("x")).select("window_id", "start", "length", "x.channel", "x.track_id")
     # a row for each window and track with its stored bases; the others are the rest of the offsets, so nothing is joined by base
-    bases = F.transform(F.sequence(F.col("lo"), F.col("hi") - 1), lambda p: F.struct((p - F.col("start")).alias("offset"), F.col("s_value").alias("value")))
-    pairs = overlap_pairs(_clipped(windows, chroms), signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi"), tile)
-    found = pairs.select("window_id", F.col("s_track_id").alias("track_id"), bases.alias("some")).groupBy("window_id", "track_id").agg(F.flatten(F.collect_list("some")).alias("stored"))
+    some = signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi")
+    found = window_runs(_clipped(windows, chroms), some, tile=tile).select("window_id", "track_id", _bases().alias("some")).groupBy("window_id", "track_id").agg(F.flatten(F.collect_list("some")).alias("stored"))
     joined = grid.join(found, ["window_id", "track_id"], "left")
     stored = F.coalesce("stored", F.array().cast("array<struct<offset:bigint,value:double>>"))
     offsets = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))

@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from basetrack.operators.overlap import split_at_tiles, tile_of
+from basetrack.operators.overlap import split_at_tiles, tile_of, with_tiles
 from basetrack.schema import TILE
 
 #: What is summed: values that aren't NaN, bases that are NaN, bases that are stored.
@@ -74,18 +74,39 @@ def _tiles(runs: DataFrame, keys: list[str], by: list[str], tile: int) -> DataFr
     return sums.select(*keys, *by, F.col("tile").alias("start"), (F.col("tile") + 1).alias("end"), *TOTALS)
 
 
-def _before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
-    """Adds ``out``: the last run of ``runs`` that starts before ``position``, or null.
+def _starting_before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
+    """Adds ``out``: how many of ``runs`` start before ``position``.
 
     The steps are columns of their own: as one expression each would hold the one before twice.  For the same reason nothing above
-    may be a filter on what comes of them before an aggregate.
+    may be a filter on what comes of them before an aggregate, nor an inner ``explode``, from which Spark infers one.
     """
-    k = f"{out}_k"
-    rows, step = rows.withColumn(k, F.lit(0)), 1 << max(tile.bit_length() - 1, 0)
+    rows, step = rows.withColumn(out, F.lit(0)), 1 << max(tile.bit_length() - 1, 0)
     while step:
-        rows = rows.withColumn(k, F.col(k) + F.when(F.get("runs", F.col(k) + (step - 1))["start"] < F.col(position), step).otherwise(0))
+        rows = rows.withColumn(out, F.col(out) + F.when(F.get("runs", F.col(out) + (step - 1))["start"] < F.col(position), step).otherwise(0))
         step //= 2
-    return rows.withColumn(out, F.get("runs", F.col(k) - 1)).drop(k)
+    return rows
+
+
+def _before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
+    """Adds ``out``: the last run of ``runs`` that starts before ``position``, or null."""
+    k = f"{out}_k"
+    return _starting_before(rows, position, k, tile).withColumn(out, F.get("runs", F.col(k) - 1)).drop(k)
+
+
+def window_runs(windows: DataFrame, signal: DataFrame, ids: Sequence[str] = ("window_id",), tile: int = TILE) -> DataFrame:
+    """(ids, start, track_id, pieces): for each window, tile and track the stored runs in the window, cut to it; pieces may be empty.
+
+    Runs are found by bisection in their tile's array, so short windows don't meet all runs of a tile.
+    """
+    runs = split_at_tiles(signal.select("chrom", "track_id", "start", "end", "value"), tile)
+    index = runs.groupBy("chrom", "track_id", "tile").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("runs"))
+    own = with_tiles(windows.select(*ids, "chrom", "start", "end"), tile)
+    parts = own.withColumns({"lo": F.greatest("start", F.col("tile") * tile), "hi": F.least("end", (F.col("tile") + 1) * tile)})
+    found = _starting_before(_starting_before(parts.join(index, ["chrom", "tile"]), "lo", "a", tile), "hi", "b", tile)
+    first = F.greatest("a", F.lit(1))  # the last run that starts before the window may reach into it
+    near = F.slice("runs", first, F.greatest(F.col("b") - first + 1, F.lit(0)))
+    cut = F.transform(F.filter(near, lambda r: r["end"] > F.col("lo")), lambda r: F.struct(F.greatest(r["start"], F.col("lo")).alias("lo"), F.least(r["end"], F.col("hi")).alias("hi"), r["value"].alias("value")))
+    return found.select(*ids, "start", "track_id", cut.alias("pieces"))
 
 
 def _met(ends: DataFrame, index: DataFrame, keys: list[str], by: list[str], ids: list[str], tile: int) -> DataFrame:
