@@ -19,6 +19,7 @@ are passed over.
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import os
 import zlib
@@ -36,8 +37,10 @@ from basetrack.llm.common import chunks, materialise, shared_dir, ship
 
 CAPACITY = 2048
 END_ID = 0
-#: Distinct cuts that a task remembers; beyond it starts anew.
-REMEMBERED = 1 << 20
+#: Distinct cuts that a worker remembers, from task to task; beyond it starts anew.
+REMEMBERED = 1 << 19
+#: Texts that the tokenizer gets at once.
+AT_ONCE = 4096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -89,13 +92,14 @@ class Encoder:
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where the table now has the ids of new texts, and how many."""
-        found: list[list[int]] = []
-        for lo in range(0, len(texts), 16384):
-            found += [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 16384], add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int64, len(found))
-        new = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum()))
+        counts, new = [np.zeros(0, np.int64)], [self.table]
+        for lo in range(0, len(texts), AT_ONCE):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts[lo : lo + AT_ONCE], add_special_tokens=False)]
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+            new.append(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(counts[-1].sum())))
+        count = np.concatenate(counts)
         begin = len(self.table) + np.cumsum(count) - count
-        self.table = np.concatenate([self.table, new])
+        self.table = np.concatenate(new)
         return begin, count
 
     def _learn(self, keys: np.ndarray, own: list[bytes]) -> None:
@@ -139,6 +143,12 @@ class Encoder:
         return self.table[where], total[edges[1:]] - total[edges[:-1]]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder: cuts that one task learnt are known to the next."""
+    return Encoder(path)
+
+
 def piece_starts(length: int, capacity: int = CAPACITY) -> list[int]:
     """Where the pieces of a document of ``length`` ids start: only the first may be shorter than the capacity."""
     if length <= capacity:
@@ -152,7 +162,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPA
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         for part in chunks(batches, "text"):
             ids, counts = encoder.encode(part.column("text"))
             out: list[tuple] = []
