@@ -2,14 +2,16 @@
 
 * combine: within a slice of input, rows with byte-equal texts become one row with the largest doc_id and
   the counts, so a text that a third of all rows hold reaches its owner once a slice.
-* own: the 64-bit key space is cut into ranges by its top bits.  An owner task gets its ranges sorted by key and
-  inserts them into an extendible hash over the following bits: an overfull bucket splits, and the directory doubles
-  when the bucket is as deep as the directory.  Rows with one key are chained and compared by their bytes; each
-  distinct text of a chain is an entry.  As keys come in order, a bucket is complete once a later one is reached;
-  it is then given out, so a task holds one bucket and one chain.
+* own: the 64-bit key space is cut into ranges by its top bits, as many as the number of rows asks for.  An owner task gets
+  its ranges sorted by key and inserts them into an extendible hash over the following bits: an overfull bucket splits, and
+  the directory doubles when the bucket is as deep as the directory.  Rows with one key are chained and compared by their
+  bytes; each distinct text of a chain is an entry.  As keys come in order, a bucket is complete once a later one is
+  reached; it is then given out, so a task holds one bucket and one chain.
 * the index (bucket prefix, depth, key, place in the chain, digest, survivor, size) is written by Spark's
   committer as Parquet in the shared folder; a lost executor's part is written again.
-* look up: rows join the entries of more than one row by digest and key; all other rows stay.
+* look up: an owner's entries of more than one row are laid out for each part of its rows (an owner with many rows has
+  many parts, so that a text which a third of all rows hold is many tasks' work); a task inserts them into a directory
+  again and probes it with its rows, by bucket, key and digest.  Rows without an entry are alone.
 
 Edge cases: a null text is the empty text; a null doc_id is less than any other; of rows with the same
 text and the same largest doc_id, one stays; an empty table gives an empty result; other columns are kept or passed over.
@@ -32,8 +34,10 @@ from basetrack.llm.common import chunks, materialise, shared_dir, ship
 #: Entries of a bucket, and bytes of text that are combined at once.
 BUCKET_ENTRIES = 512
 COMBINE_BYTES = 32 << 20
-#: Bits of the key that choose the owner's range; more ranges than tasks, so that tasks even out.
-RANGE_BITS = 12
+#: The key's top bits choose the owner's range: at least 2^12 ranges, so that tasks even out, and about so many rows in one.
+RANGE_BITS, RANGE_ROWS = 12, 8192
+#: An owner with a share of 1 / BUSY of all rows at least (and PART_ROWS) has its rows looked up in parts.
+BUSY, PART_ROWS = 4096, 512
 
 
 class Directory:
@@ -66,6 +70,21 @@ class Directory:
             b = self.bucket(key)
         return b
 
+    def add(self, key: int, entry: tuple) -> None:
+        """One more entry of a key's chain, the last key's or a new one's."""
+        own = self.bucket(key)["entries"]
+        if own and own[-1][0] == key:  # keys come in order
+            own[-1][1].append(entry)
+        else:
+            self.insert(key, [entry])
+
+    def chain(self, key: int) -> list:
+        """The entries of a key, through the directory and its bucket."""
+        b = self.bucket(key)
+        if "by_key" not in b:
+            b["by_key"] = dict(b["entries"])
+        return b["by_key"].get(key, [])
+
     def before(self, key: int) -> Iterator[dict]:
         """Buckets left of the key's with entries: complete, as keys come in order.  Looked for only as the bucket changes."""
         now, last = self.bucket(key), None
@@ -97,14 +116,15 @@ def _combine(docs: DataFrame, payload: list[str]) -> DataFrame:
         for part in chunks(batches, "text", COMBINE_BYTES):
             text = pc.fill_null(part.column("text"), "")
             codes = np.asarray(text.dictionary_encode().indices)
-            ids = np.asarray(pc.fill_null(part.column("doc_id"), np.iinfo(np.int64).min))
-            order = np.lexsort((ids, codes))
+            known = np.asarray(part.column("doc_id").is_valid())
+            ids = np.where(known, np.asarray(pc.fill_null(part.column("doc_id"), 0)), 0)
+            order = np.lexsort((ids, known, codes))  # a null is less than any other
             last = np.append(codes[order][1:] != codes[order][:-1], True)
             n = np.diff(np.concatenate([[-1], np.flatnonzero(last)]))
             top = order[last]
-            most = np.empty(len(top), np.int64)
-            most[codes[top]] = ids[top]
-            at = np.bincount(codes, ids == most[codes]).astype(np.int64)[codes[top]]
+            most, some = np.empty(len(top), np.int64), np.empty(len(top), bool)
+            most[codes[top]], some[codes[top]] = ids[top], known[top]
+            at = np.bincount(codes, (ids == most[codes]) & (known == some[codes])).astype(np.int64)[codes[top]]
             kept = part.set_column(part.schema.get_field_index("text"), "text", text).take(pa.array(top))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(n, pa.int64()), pa.array(at, pa.int64())], names=[*kept.schema.names, "n", "n_at_keep"])
 
@@ -112,12 +132,21 @@ def _combine(docs: DataFrame, payload: list[str]) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def build_index(docs: DataFrame, payload: list[str] | None = None) -> DataFrame:
+def range_bits(rows: int) -> int:
+    return min(max(RANGE_BITS, (max(rows, 1) // RANGE_ROWS).bit_length()), 30)
+
+
+def _owner(bits: int):
+    return F.shiftrightunsigned("key", 64 - bits).cast("int")
+
+
+def build_index(docs: DataFrame, payload: list[str] | None = None, bits: int | None = None) -> DataFrame:
     """The index entries of ``docs`` (doc_id, text): _ENTRY, and with ``payload`` the survivor's text and named columns."""
     ship(docs.sparkSession)
     carry = list(payload or [])
     combined = _combine(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"), *(docs[c].alias(f"p_{c}") for c in carry)), carry)
-    keyed = combined.withColumn("key", F.xxhash64("text")).withColumn("owner", F.shiftrightunsigned("key", 64 - RANGE_BITS).cast("int"))
+    bits = range_bits(docs.count()) if bits is None else bits
+    keyed = combined.withColumn("key", F.xxhash64("text")).withColumn("owner", _owner(bits))
     # unsigned order of the keys: their halves' order
     parted = keyed.repartition("owner").sortWithinPartitions("owner", F.col("key") < 0, "key", "text")
     out_schema = T.StructType([T.StructField(n, {"int": T.IntegerType(), "long": T.LongType(), "string": T.StringType()}[t]) for n, t in _ENTRY])
@@ -160,7 +189,7 @@ def build_index(docs: DataFrame, payload: list[str] | None = None) -> DataFrame:
                     if o != owner:
                         if directory is not None:
                             give(directory.rest())
-                        directory, owner = Directory(RANGE_BITS), o
+                        directory, owner = Directory(bits), o
                     key = k
                 for e in chain:
                     if e[0] == text:
@@ -199,21 +228,59 @@ def survivors(docs: DataFrame) -> DataFrame:
     return index.select(*(by[c] for c in docs.columns))
 
 
+PROBED = "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string"
+
+
 def duplicates(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     folder = folder or shared_dir(docs.sparkSession)
-    index = materialise(build_index(docs), folder, "index")
-    text = F.coalesce(docs["text"], F.lit(""))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), F.xxhash64(text).alias("key"))
-    groups = index.where("group_size > 1").select("text_sha256", "key", "keep_id", "group_size", "n_at_keep")
-    found = materialise(rows.join(groups, ["text_sha256", "key"], "left").withColumn("row", F.monotonically_increasing_id()), folder, "found")
-    at_keep = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_at_keep") > 1)
-    ties = found.where(at_keep).groupBy("text_sha256", "key").agg(F.min("row").alias("first_row"))
-    out = found.join(ties, ["text_sha256", "key"], "left")
-    alone = F.col("group_size").isNull()
-    kept = alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & ((F.col("n_at_keep") == 1) | (F.col("row") == F.col("first_row"))))
-    return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    n = docs.count()
+    materialise(build_index(docs, bits=range_bits(n)), folder, "index")
+    return look_up(docs, read_index(docs.sparkSession, folder), n)
 
 
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/index")
+
+
+def look_up(docs: DataFrame, index: DataFrame, n: int) -> DataFrame:
+    """PROBED of every row of ``docs``, of which there are ``n``, through the written index of their texts."""
+    bits, most = range_bits(n), max(PART_ROWS, n // BUSY)
+    text = F.coalesce(docs["text"], F.lit(""))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.sha2(text, 256).alias("sha"), F.xxhash64(text).alias("key")).withColumn("owner", _owner(bits))
+    shared = index.where("group_size > 1").select("owner", "key", F.col("text_sha256").alias("sha"), "keep_id", "group_size", "n_at_keep")
+    # owners with many rows in groups, BUSY at most, are named with their parts; all others have one
+    busy = F.broadcast(shared.groupBy("owner").agg(F.sum("group_size").alias("n")).where(F.col("n") > most).select(F.col("owner").alias("busy"), F.ceil(F.col("n") / F.lit(most)).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    empty = [F.lit(None).cast("long").alias(c) for c in ("keep_id", "group_size", "n_at_keep")]
+    # rows with one doc_id and text are in one part, where the first of them is known
+    asked = rows.join(busy, F.col("owner") == F.col("busy"), "left").select("owner", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"), F.lit(1).alias("kind"), "doc_id", "key", "sha", *empty)
+    laid = shared.join(busy, F.col("owner") == F.col("busy"), "left").select("owner", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), "key", "sha", "keep_id", "group_size", "n_at_keep")
+    both = laid.unionAll(asked).repartition("owner", "part").sortWithinPartitions("owner", "part", "kind", F.col("key") < 0, "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, directory, seen = None, Directory(bits), set()
+        for batch in batches:
+            c = batch.to_pydict()
+            out: list[tuple] = []
+            for owner, part, kind, doc, key, sha, keep, size, n_at_keep in zip(*(c[n] for n in ("owner", "part", "kind", "doc_id", "key", "sha", "keep_id", "group_size", "n_at_keep")), strict=True):
+                if (owner, part) != at:
+                    at, directory, seen = (owner, part), Directory(bits), set()
+                unsigned = key & ((1 << 64) - 1)
+                if kind == 0:
+                    directory.add(unsigned, (sha, keep, size, n_at_keep))
+                    continue
+                found = next((e for e in directory.chain(unsigned) if e[0] == sha), None)
+                if found is None:
+                    out.append((doc, doc, 1, True, sha))
+                    continue
+                kept = doc == found[1]
+                if kept and found[3] > 1:  # of rows with the same text and doc_id the first
+                    kept = (key, sha) not in seen
+                    seen.add((key, sha))
+                out.append((doc, found[1], found[2], kept, sha))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in PROBED.split(", ")])
+
+    return both.mapInArrow(run, PROBED)
