@@ -28,6 +28,8 @@ from basetrack.llm.common import materialise, shared_dir, ship
 
 ARCHIVE_BYTES = 64 << 20
 PIECE = 64 << 10
+#: More archives than this are dealt round-robin, several to a task.
+MOST_READERS = 20_000
 #: HTTP headers are small; a WARC header holds the url and may have any length.
 HEADER_BYTES = 64 << 10
 #: Rows read back are given on at so many characters of urls at least, or at 4,096 rows.
@@ -223,7 +225,8 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield give(rows)
 
-    return manifest.select("path", "records").repartition("path").mapInArrow(run, RECORDS)
+    # a stated number of partitions, which adaptive execution leaves alone: an archive a task, as far as tasks are cheap
+    return manifest.select("path", "records").repartition(min(max(manifest.count(), 1), MOST_READERS)).mapInArrow(run, RECORDS)
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0, folder: str | None = None) -> DataFrame:
