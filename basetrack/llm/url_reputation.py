@@ -18,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basetrack.llm.common import join_hot, materialise, shared_dir
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -95,18 +97,20 @@ def _strength(groups: DataFrame, mean: Column, r: Reputation) -> DataFrame:
     return s.select(F.least(F.greatest(F.coalesce(1 / rho - 1, F.lit(r.strongest)), F.lit(r.weakest)), F.lit(r.strongest)).alias("m"))
 
 
-def host_posteriors(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reputation()) -> DataFrame:
+def host_posteriors(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reputation(), folder: str | None = None) -> DataFrame:
     """One row per host of ``pages`` (host, domain, suffix): n, bad, the posterior's a and b, mean and bound.
 
     ``pages``: page_id, host; ``outcomes``: page_id, bad (0 or 1).  The one shuffle that is as large as the input
     is the join by page; all groups are summed on the map side first, so a host with a third of the pages costs no more.
     """
     labelled = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("double").alias("bad"))
-    counted = pages.join(labelled, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"))
+    counted = pages.join(labelled, "page_id", "left").groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("bad"), F.count(F.lit(1)).alias("pages"))
     domain, suffix = levels(F.col("host"), r.suffixes)
-    hosts = counted.withColumns({"domain": domain, "suffix": suffix})
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # written once: every level above is drawn from the table of hosts several times
+    folder = folder or shared_dir(pages.sparkSession)
+    hosts = materialise(counted.withColumns({"domain": domain, "suffix": suffix}), folder, "hosts")
+    domains = materialise(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), folder, "domains")
+    suffixes = materialise(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), folder, "suffixes")
     overall = suffixes.agg(((F.coalesce(F.sum("bad"), F.lit(0.0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 1.0)).alias("p"))
 
     def shrink(groups: DataFrame, prior: str, out: str) -> DataFrame:
@@ -115,7 +119,8 @@ def host_posteriors(pages: DataFrame, outcomes: DataFrame, r: Reputation = Reput
         return groups.join(F.broadcast(m)).withColumns({"a": a, "b": b}).withColumn(out, F.col("a") / (F.col("a") + F.col("b"))).drop("m")
 
     s = shrink(suffixes.join(F.broadcast(overall)), "p", "suffix_mean").select("suffix", "suffix_mean")
-    d = shrink(domains.join(s, "suffix"), "suffix_mean", "domain_mean").select("domain", "domain_mean")
+    s = materialise(s, folder, "suffix_means")
+    d = materialise(shrink(domains.join(s, "suffix"), "suffix_mean", "domain_mean").select("domain", "domain_mean"), folder, "domain_means")
     h = shrink(hosts.join(d, "domain"), "domain_mean", "mean")
     a, b = F.col("a"), F.col("b")
     return h.withColumn("bound", F.col("mean") - r.z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))))
@@ -125,13 +130,18 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] = RULES
     """page_id, host, path, rule, verdict, and the bound by which the method judged."""
     host, path = split_url(F.col("url"))
     rows = pages.select(pages[id_column].alias("page_id"), pages[url_column].alias("url")).select("page_id", host.alias("host"), path.alias("path"))
-    bound = host_posteriors(rows.select("page_id", "host"), outcomes, r).select("host", "n", "mean", "bound")
+    bound = host_posteriors(rows.select("page_id", "host"), outcomes, r).select("host", "n", "pages", "mean", "bound")
     name, verdict = match_rule(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("bound") > r.limit, "block").otherwise("allow")
-    return rows.join(bound, "host", "left").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("n").cast("long").alias("n_outcomes"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
+    total = bound.agg(F.sum("pages")).first()[0] or 0
+    return join_hot(rows, bound, ["host"], "pages", total, "page_id").select("page_id", "host", "path", name.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.col("n").cast("long").alias("n_outcomes"), F.round("mean", 6).alias("bad_mean"), F.round("bound", 6).alias("bad_bound"))
 
 
 def label_outcomes(labels: DataFrame) -> DataFrame:
-    """Outcomes of pages from a label table whose doc_id is the page's id: a page is bad if its quality is 0 or it is toxic."""
+    """Outcomes of pages from a label table whose doc_id is the page's id: a page is bad if its quality is 0 or it is toxic.
+
+    The given labels are of documents that merely share their numbers with pages, so figures drawn from them say nothing of any host; they
+    stand in until there are outcomes of pages, which go to ``judge`` as they are.
+    """
     bad = F.greatest(1 - F.col("quality"), F.col("toxic"))
     return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
