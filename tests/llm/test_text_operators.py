@@ -134,7 +134,7 @@ def test_exact_duplicates(docs, no_docs):
 
 
 def test_busy_owners_are_looked_up_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 4)
+    monkeypatch.setattr(exact_dedup, "PART_ROWS", 4)
     least = -(2**63)
     rows = [(i % 50, "copied") for i in range(120)] + [(i, f"alone {i}") for i in range(30)] + [(None, "null"), (least, "null"), (None, "nulls"), (None, "nulls")]
     out = exact_dedup.duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
