@@ -5,8 +5,8 @@
   distinct left neighbours, discounts come from the counts of counts, histories give the weights of the lower order.
 * shards: log probabilities and log weights, sorted by key, are written to the shared folder in shards by range of the key.
 * score: a task takes the distinct n-grams of a slice of whole texts and joins them with the shards one after another, a
-  merge of sorted keys; missing ones back off to the next order.  Texts are never shuffled; a shard and a slice are in memory.
-* threshold: per language, quantiles of the trusted texts' perplexities, widened by a factor.
+  merge of sorted keys; missing ones back off to the next order.  Texts aren't shuffled for it; some shards and a slice are in memory.
+* threshold: per language, quantiles of the trusted texts' perplexities, widened by a factor; the upper one is of texts that weren't counted.
 
 Edge cases: a null or empty text has no perplexity and isn't kept; a null language is a language; a language without trusted text is scored by
 byte frequencies of none (uniform), and kept, as nothing is known of it; repeated rows are rows; an empty table gives an empty result.
@@ -20,7 +20,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basetrack.llm import text as tx
@@ -29,8 +30,10 @@ from basetrack.llm.common import chunks, materialise, shared_dir, ship
 ORDER = 5
 SLICE_BYTES = 4 << 20
 SHARD_ROWS = 1 << 21
-#: More languages than this aren't languages; their table is on the driver.
-MOST_LANGUAGES = 4096
+#: Rows of the model that a task holds from slice to slice; shards beyond them are read again for each slice.
+HELD_ROWS = 1 << 23
+#: What a key has bits for.
+MOST_LANGUAGES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -38,6 +41,8 @@ class Quantiles:
     low: float = 0.002
     high: float = 0.998
     margin: float = 1.1
+    #: A language with fewer held-out texts takes its upper limit from all its trusted texts.
+    least_held: int = 100
 
 
 def packed(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -52,10 +57,23 @@ def packed(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """(lang_id, g, c) of all texts; docs: lang_id, text."""
+def count_ngrams(docs: DataFrame, ids: str | None = None) -> DataFrame:
+    """(lang_id, g, c) of the texts whose doc_id is a key of the shards ``ids`` (None: of all); docs: doc_id, lang_id, text.
+
+    Tasks look their documents up in the sorted shards, so no text is shuffled to find the trusted ones, however many there are.
+    """
     ship(docs.sparkSession)
 
+    def trusted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if ids is None:
+            yield from batches
+            return
+        shards = Shards(ids)
+        for batch in batches:
+            known = np.asarray(batch.column("doc_id").is_valid())
+            own, inverse = np.unique(np.asarray(pc.fill_null(batch.column("doc_id"), 0)), return_inverse=True)
+            yield batch.filter(pa.array(~np.isnan(shards.find(own))[inverse] & known))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total_keys, total = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -64,7 +82,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
                 k, c = total_keys[lo : lo + (1 << 18)], total[lo : lo + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array((k >> 40).astype(np.int32)), pa.array(k & ((1 << 40) - 1)), pa.array(c)], names=["lang_id", "g", "c"])
 
-        for part in chunks(batches, "text", SLICE_BYTES):
+        for part in chunks(trusted(batches), "text", SLICE_BYTES):
             data, bounds = tx.column_bytes(part.column("text"))
             lang = np.repeat(np.asarray(part.column("lang_id")).astype(np.int64), np.diff(bounds))
             keys, counts = np.unique((lang << 40) | packed(data, bounds), return_counts=True)
@@ -113,9 +131,10 @@ def model(counts: DataFrame, folder: str) -> DataFrame:
     return reduce(DataFrame.unionAll, out)
 
 
-def write_shards(table: DataFrame, folder: str) -> str:
-    path = f"{folder}/shards"
-    rows = materialise(table, folder, "model")
+def write_shards(table: DataFrame, folder: str, name: str = "model") -> str:
+    """The place of (key, value) in sorted shards by range of the key."""
+    path = f"{folder}/{name}-shards"
+    rows = materialise(table, folder, name)
     n = max(1, -(-rows.count() // SHARD_ROWS))
     rows.repartitionByRange(n, "key").sortWithinPartitions("key").write.parquet(path)
     return path
@@ -131,26 +150,31 @@ class Shards:
         self.pq = pq
         self.system, root = fs.FileSystem.from_uri(place)
         self.files = sorted(x.path for x in self.system.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
-        self.held: tuple[str, np.ndarray, np.ndarray] | None = None
+        self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.range: dict[str, tuple[int, int]] = {}  # of keys of files that were read
 
     def _read(self, path: str) -> tuple[np.ndarray, np.ndarray]:
-        if self.held is None or self.held[0] != path:
-            t = self.pq.read_table(path, filesystem=self.system)
-            key = np.asarray(t.column("key"))
-            value = np.asarray(t.column("value"))
-            if len(key) and (np.diff(key) < 0).any():
-                order = np.argsort(key)
-                key, value = key[order], value[order]
-            self.held = (path, key, value)
-        return self.held[1:]
+        if path in self.held:
+            return self.held[path]
+        t = self.pq.read_table(path, filesystem=self.system)
+        key, value = np.asarray(t.column("key")), np.asarray(t.column("value"))
+        if len(key) and (np.diff(key) < 0).any():
+            order = np.argsort(key)
+            key, value = key[order], value[order]
+        if sum(len(k) for k, _ in self.held.values()) + len(key) <= HELD_ROWS:
+            self.held[path] = key, value
+        return key, value
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Values of sorted keys; nan where there is none."""
         out = np.full(len(keys), np.nan)
-        for path in self.files:
+        for path in self.files if len(keys) else ():
+            if path in self.range and (keys[-1] < self.range[path][0] or keys[0] > self.range[path][1]):
+                continue
             have, value = self._read(path)
             if not len(have):
                 continue
+            self.range[path] = int(have[0]), int(have[-1])
             lo, hi = np.searchsorted(keys, have[0]), np.searchsorted(keys, have[-1], side="right")
             at = np.minimum(np.searchsorted(have, keys[lo:hi]), len(have) - 1)
             hit = have[at] == keys[lo:hi]
@@ -198,23 +222,30 @@ def score(docs: DataFrame, place: str) -> DataFrame:
 
 
 def perplexity_filter(docs: DataFrame, trusted_ids: DataFrame, limits: Quantiles = Quantiles(), folder: str | None = None) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity, low, high, kept of every row; trusted_ids: doc_id of the texts to learn from."""
+    """doc_id, lang, n_bytes, perplexity, low, high, kept of every row; trusted_ids: doc_id of the texts to learn from.
+
+    A fifth of the trusted texts (by hash of the doc_id) is not counted: a language's upper limit is the quantile of their perplexities.  The
+    lower limit, which texts said again and again fall below, is that of all trusted texts, as those that were counted are the lowest.
+    """
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["lang"].cast("string").alias("lang"), docs["text"].alias("text"))
-    names = [r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
+    named = rows.select("lang").distinct()
+    languages = materialise(named.withColumn("lang_id", (F.row_number().over(Window.orderBy("lang")) - 1).cast("int")), folder, "languages")  # a row a language
+    if languages.count() > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    names.sort(key=lambda x: (x is not None, x))
-    languages = spark.createDataFrame(list(enumerate(names)), "lang_id int, lang string")
-    known = rows.join(F.broadcast(languages).withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l"))).drop("l")
-    trusted = trusted_ids.select(F.col("doc_id").cast("long").alias("trusted")).where("trusted is not null").distinct()
-    # one plan at every size: texts go to their ids once, however few the trusted ids are
-    counts = materialise(count_ngrams(known.join(trusted.hint("merge"), F.col("doc_id") == F.col("trusted"), "left_semi").select("lang_id", "text")), folder, "counts")
+    by_name = languages.select(F.col("lang").alias("l"), "lang_id")
+    known = rows.join(by_name, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+    trusted = materialise(trusted_ids.select(F.col("doc_id").cast("long").alias("trusted")).where("trusted is not null").distinct().withColumn("held", F.crc32(F.concat(F.lit("held|"), F.col("trusted").cast("string"))) % 5 == 0), folder, "trusted")
+    learnt = write_shards(trusted.where("not held").select(F.col("trusted").alias("key"), F.lit(1.0).alias("value")), folder, "learnt")
+    counts = materialise(count_ngrams(known.select("doc_id", "lang_id", "text"), learnt), folder, "counts")
     place = write_shards(model(counts, folder), folder)
     scored = materialise(score(known, place), folder, "scored")
-    own = scored.join(trusted, F.col("doc_id") == F.col("trusted"), "left_semi").where("n_bytes > 0")
-    bounds = own.groupBy("lang_id").agg(F.percentile_approx("perplexity", [limits.low, limits.high], 10000).alias("q")).select("lang_id", (F.col("q")[0] / limits.margin).alias("low"), (F.col("q")[1] * limits.margin).alias("high"))
-    joined = scored.join(F.broadcast(bounds), "lang_id", "left").join(F.broadcast(languages), "lang_id")  # a row a language
+    own = scored.join(trusted, F.col("doc_id") == F.col("trusted")).where("n_bytes > 0")
+    p, held = F.col("perplexity"), F.col("held")
+    top = F.when(F.count_if(held) >= limits.least_held, F.percentile_approx(F.when(held, p), limits.high, 10000)).otherwise(F.percentile_approx(p, limits.high, 10000))
+    bounds = own.groupBy("lang_id").agg((F.percentile_approx(p, limits.low, 10000) / limits.margin).alias("low"), (top * limits.margin).alias("high"))
+    bounds = materialise(languages.join(bounds, "lang_id", "left"), folder, "bounds")
+    joined = scored.join(bounds, "lang_id")  # a row a language
     kept = F.coalesce(F.when(F.col("high").isNull(), F.col("n_bytes") > 0).otherwise(F.col("perplexity").between(F.col("low"), F.col("high"))), F.lit(False))
     return joined.select("doc_id", "lang", "n_bytes", "perplexity", "low", "high", kept.alias("kept"))
