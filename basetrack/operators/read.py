@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basetrack.operators.overlap import overlap_pairs
+from basetrack.plans.bases import BASES, meet, touched, value_at
 from basetrack.plans.prefix import range_totals, window_runs
 from basetrack.schema import LONGEST, TILE
 
-#: Bins of this many bases and more are summed from running sums, smaller ones from the runs in them.
+#: Bins of this many bases and more are summed from running sums, smaller ones base by base in their tile.
 LEAST_BIN = 8
 
 
@@ -42,6 +44,11 @@ def check_known(windows: DataFrame, chroms: DataFrame, strict: bool = True) -> N
         warnings.warn(f"not in the file: {', '.join(map(str, names[:5]))}", stacklevel=2)
 
 
+def repeated_ids(windows: DataFrame) -> bool:
+    """Whether windows share an id; what is summed or listed by id is then of all of them."""
+    return bool(windows.groupBy("window_id").count().where("count > 1").head(1))
+
+
 def entries(windows: DataFrame, signal: DataFrame, channels: DataFrame, tile: int = TILE) -> DataFrame:
     """(window_id, channel, offset, value): stored bases of the windows; a track with several channels is read into each."""
     some = signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi")
@@ -127,13 +134,20 @@ def binned_sums(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channe
     if width % bins:
         raise ValueError(f"bins of {bins} don't divide a width of {width}")
     own = _clipped(windows, chroms)
-    if bins < LEAST_BIN:  # hardly a run longer than a bin: its bins are fewer than a window's
-        pairs = overlap_pairs(own, signal, tile)
-        first, last = F.floor((F.col("lo") - F.col("start")) / bins), F.floor((F.col("hi") - 1 - F.col("start")) / bins)
-        cut = pairs.withColumn("bin", F.explode(F.sequence(first, last)))
-        edge = F.col("start") + F.col("bin") * bins
-        bases = F.least("hi", edge + bins) - F.greatest("lo", edge)
-        return cut.join(channels, cut["s_track_id"] == channels["track_id"]).groupBy("window_id", by, "bin").agg(F.sum(F.col("s_value") * bases).alias("total"))
+    if bins < LEAST_BIN:  # a bin is summed in the tile of its first base
+        tile = min(tile, BASES)
+        own = own.select("window_id", "chrom", "start", "end")
+        some = touched(signal.join(F.broadcast(channels.select("track_id", by)), "track_id"), own, tile, bins - 1)
+        bases = some.withColumn("start", F.explode_outer(F.sequence("start", F.col("end") - 1))).groupBy("chrom", "tile", by, "start").agg(F.sum("value").alias("value"))
+        met = meet(own, bases.withColumn("end", F.col("start") + 1), channels.select(by).distinct(), by, tile).where("values is not null")
+        begin = F.col("start")
+        bounds = met.withColumns({"first": F.ceil((F.col("lo") - begin) / bins), "last": F.floor((F.col("hi") - 1 - begin) / bins)}).where("first <= last")
+        each = bounds.withColumn("bin", F.explode_outer(F.sequence("first", "last")))
+        at = begin + F.col("bin") * bins
+        values = [value_at(at) if not k else F.when(at + k < F.col("end"), value_at(at + k)) for k in range(bins)]
+        total = reduce(add, (F.coalesce(v, F.lit(0.0)) for v in values)) if bins > 1 else values[0]
+        sums = each.select("window_id", by, "bin", F.when(F.coalesce(*values).isNotNull(), total).alias("total")).where("total is not null")
+        return sums.groupBy("window_id", by, "bin").agg(F.sum("total").alias("total")) if repeated_ids(windows) else sums
     each = own.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("end") - 1 - F.col("start")) / bins))))
     edge = F.col("start") + F.col("bin") * bins
     cells = each.select("window_id", "bin", "chrom", edge.alias("start"), F.least("end", edge + bins).alias("end"))
