@@ -87,19 +87,18 @@ def read_dense(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channel
     Multi-track datasets have default 0 and NaN past the end (None: 0, for whole-number output); interval tracks have
     ``default`` where no interval is, and NaN intervals count as missing unless ``keep_nan``.
     """
-    length = F.col("length")
-    every = channels.agg(F.collect_list(F.struct("channel", "track_id")).alias("all"))  # one row: the requested channels
-    grid = windows.join(chroms.select("chrom", "length"), "chrom", "left").join(F.broadcast(every)).select("window_id", "start", "length", F.explode("all").alias("x")).select("window_id", "start", "length", "x.channel", "x.track_id")
-    # a row for each window and track with its stored bases; the others are the rest of the offsets, so nothing is joined by base
-    some = signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi")
-    found = window_runs(_clipped(windows, chroms), some, tile=tile).select("window_id", "track_id", _bases().alias("some")).groupBy("window_id", "track_id").agg(F.flatten(F.collect_list("some")).alias("stored"))
-    joined = grid.join(found, ["window_id", "track_id"], "left")
-    stored = F.coalesce("stored", F.array().cast("array<struct<offset:bigint,value:double>>"))
-    offsets = F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))
-    rest = F.transform(F.array_except(offsets, F.transform(stored, lambda b: b["offset"])), lambda o: F.struct(o.alias("offset"), F.lit(None).cast("double").alias("value")))
-    each = joined.select("window_id", "channel", "start", "length", F.explode(F.concat(stored, rest)).alias("b")).select("window_id", "channel", "start", "length", "b.offset", "b.value")
-    value = fill(F.col("value"), F.col("start") + F.col("offset") < length, length.isNotNull(), default, oob, keep_nan)
-    return each.select("window_id", "channel", "offset", value.alias("value"))
+    length, tile = F.col("length"), min(tile, BASES)
+    own = windows.join(F.broadcast(chroms.select("chrom", "length")), "chrom", "left")
+    # every window is read to its width; what it stores lies within its own end and its chromosome (least passes over an unknown length)
+    whole = own.select("window_id", "chrom", "start", "length", F.when(length.isNotNull(), F.least("end", "length")).alias("stop"), F.greatest("end", F.col("start") + width).alias("end"))
+    some = touched(signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi"), whole, tile)
+    met = meet(whole, some, channels.select("channel", "track_id"), "track_id", tile)
+    # what a base needs, once a part and channel, as offsets from the window's start
+    start = F.col("start")
+    each = met.select("window_id", "channel", "values", (start + F.col("shift")).cast("int").alias("shift"), length.isNotNull().alias("known"), (length - start).alias("inside"), F.coalesce(F.col("stop") - start, F.lit(0)).alias("stored"), F.explode_outer(F.sequence(F.col("lo") - start, F.col("hi") - 1 - start)).alias("offset"))
+    offset = F.col("offset")
+    each = each.withColumn("value", F.when(offset < F.col("stored"), value_at(offset.cast("int")))).where((offset < width) | F.col("value").isNotNull())
+    return each.select("window_id", "channel", "offset", fill(F.col("value"), offset < F.col("inside"), F.col("known"), default, oob, keep_nan).alias("value"))
 
 
 def packed(dense: DataFrame) -> DataFrame:

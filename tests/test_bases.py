@@ -56,3 +56,18 @@ def test_small_bins_across_tiles_and_repeated_ids(frames, bins):
     rows = read.binned_sums(windows, signal, chroms, channels, 30, bins, tile=16).collect()
     assert len(rows) == len({(r.window_id, r.channel, r.bin) for r in rows})
     assert {(r.window_id, r.channel, r.bin): repr(r.total) for r in rows} == sums(bins)
+
+
+@pytest.mark.parametrize("name", ["window_read_dense_wide", "window_read_dense"])
+def test_dense_reads_are_not_shuffled_by_window(spark, name):
+    assert not by_window(spark, name)
+
+
+@pytest.mark.parametrize("tile", [16, 1024])
+def test_dense_read_of_repeated_ids_and_unknown_chromosomes(spark, frames, tile):
+    windows, signal, chroms, _ = frames
+    channels = spark.createDataFrame([(70, 0), (70, 1), (5, 2)], "track_id int, channel int")
+    rows = read.read_dense(windows, signal, chroms, channels, 30, -1.0, -2.0, tile=tile).collect()
+    own = stored(65)
+    want = [(w, ch, p - s, -1.0 if c == "d" else -2.0 if p >= 50 else own.get(p, -1.0) if ch < 2 else -1.0) for w, c, s, e in WINDOWS for ch in range(3) for p in range(s, e)]
+    assert sorted(map(repr, ((r.window_id, r.channel, r.offset, r.value) for r in rows))) == sorted(map(repr, want))
