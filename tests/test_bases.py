@@ -71,3 +71,7 @@ def test_dense_read_of_repeated_ids_and_unknown_chromosomes(spark, frames, tile)
     own = stored(65)
     want = [(w, ch, p - s, -1.0 if c == "d" else -2.0 if p >= 50 else own.get(p, -1.0) if ch < 2 else -1.0) for w, c, s, e in WINDOWS for ch in range(3) for p in range(s, e)]
     assert sorted(map(repr, ((r.window_id, r.channel, r.offset, r.value) for r in rows))) == sorted(map(repr, want))
+
+
+def test_reads_of_missing_chromosomes_are_not_shuffled_by_window(spark):
+    assert not by_window(spark, "window_missing_chrom_wide")
