@@ -193,9 +193,7 @@ def points_in_windows(t: Tables) -> DataFrame:
 
 def _points(t: Tables, width: int) -> DataFrame:
     points = t.signal.select("chrom", F.col("start").alias("pos"), "track_id")
-    found = overlap.points_in_windows(t.windows(width), points, TILE)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.col("pos") - F.col("start"))), lambda x: x.cast("string")), ", ")
-    return found.groupBy("window_id", F.col("track_id").alias("channel")).agg(F.concat(F.lit("["), text, F.lit("]")).alias("offsets"))
+    return read.points_read(t.windows(width), points, TILE).select("window_id", F.col("track_id").alias("channel"), F.col("offsets").cast("string").alias("offsets"))
 
 
 # The reads above over whole windows and all channels.  They have no SQL; the tests hold them against brute force.

@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basetrack.plans.bases import BASES, meet, touched, value_at
+from basetrack.plans.bases import BASES, meet, touched, value_at, window_points
 from basetrack.plans.prefix import range_totals, window_runs
 from basetrack.schema import LONGEST, TILE
 
@@ -101,6 +101,13 @@ def read_dense(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channel
     return each.select("window_id", "channel", "offset", fill(F.col("value"), offset < F.col("inside"), F.col("known"), default, oob, keep_nan).alias("value"))
 
 
+def points_read(windows: DataFrame, points: DataFrame, tile: int = TILE) -> DataFrame:
+    """window_id, track_id, offsets: the sorted offsets of the points (chrom, pos, track_id) in each window; windows without points have no row."""
+    found = window_points(windows.select("window_id", "chrom", "start", "end"), points, "track_id", tile)
+    out = found.select("window_id", "track_id", F.transform("positions", lambda p: p - F.col("start")).alias("offsets"))
+    return out.groupBy("window_id", "track_id").agg(F.array_sort(F.flatten(F.collect_list("offsets"))).alias("offsets")) if repeated_ids(windows) else out
+
+
 def packed(dense: DataFrame) -> DataFrame:
     """One array a window and channel."""
     cells = F.array_sort(F.collect_list(F.struct("offset", "value")))

@@ -74,7 +74,7 @@ def _tiles(runs: DataFrame, keys: list[str], by: list[str], tile: int) -> DataFr
     return sums.select(*keys, *by, F.col("tile").alias("start"), (F.col("tile") + 1).alias("end"), *TOTALS)
 
 
-def _starting_before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
+def starting_before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
     """Adds ``out``: how many of ``runs`` start before ``position``.
 
     The steps are columns of their own: as one expression each would hold the one before twice.  For the same reason nothing above
@@ -90,7 +90,7 @@ def _starting_before(rows: DataFrame, position: str, out: str, tile: int) -> Dat
 def _before(rows: DataFrame, position: str, out: str, tile: int) -> DataFrame:
     """Adds ``out``: the last run of ``runs`` that starts before ``position``, or null."""
     k = f"{out}_k"
-    return _starting_before(rows, position, k, tile).withColumn(out, F.get("runs", F.col(k) - 1)).drop(k)
+    return starting_before(rows, position, k, tile).withColumn(out, F.get("runs", F.col(k) - 1)).drop(k)
 
 
 def window_runs(windows: DataFrame, signal: DataFrame, ids: Sequence[str] = ("window_id",), tile: int = TILE) -> DataFrame:
@@ -102,7 +102,7 @@ def window_runs(windows: DataFrame, signal: DataFrame, ids: Sequence[str] = ("wi
     index = runs.groupBy("chrom", "track_id", "tile").agg(F.array_sort(F.collect_list(F.struct("start", "end", "value"))).alias("runs"))
     own = with_tiles(windows.select(*ids, "chrom", "start", "end"), tile)
     parts = own.withColumns({"lo": F.greatest("start", F.col("tile") * tile), "hi": F.least("end", (F.col("tile") + 1) * tile)})
-    found = _starting_before(_starting_before(parts.join(index, ["chrom", "tile"]), "lo", "a", tile), "hi", "b", tile)
+    found = starting_before(starting_before(parts.join(index, ["chrom", "tile"]), "lo", "a", tile), "hi", "b", tile)
     first = F.greatest("a", F.lit(1))  # the last run that starts before the window may reach into it
     near = F.slice("runs", first, F.greatest(F.col("b") - first + 1, F.lit(0)))
     cut = F.transform(F.filter(near, lambda r: r["end"] > F.col("lo")), lambda r: F.struct(F.greatest(r["start"], F.col("lo")).alias("lo"), F.least(r["end"], F.col("hi")).alias("hi"), r["value"].alias("value")))

@@ -75,3 +75,23 @@ def test_dense_read_of_repeated_ids_and_unknown_chromosomes(spark, frames, tile)
 
 def test_reads_of_missing_chromosomes_are_not_shuffled_by_window(spark):
     assert not by_window(spark, "window_missing_chrom_wide")
+
+
+@pytest.mark.parametrize("name", ["points_in_windows_wide", "points_in_windows"])
+def test_points_are_not_shuffled_by_window(spark, name):
+    assert not by_window(spark, name)
+
+
+@pytest.mark.parametrize("longest", [30, 100_000])
+def test_points_of_repeated_ids_repeated_places_and_long_windows(spark, longest):
+    at = [3, 3, 15, 16, 29, 31, 32, 32, 33, 90, 99_999, 100_000]
+    points = spark.createDataFrame([("c", p, t) for p in at for t in (0, 1)] + [("d", 1, 0)], "chrom string, pos long, track_id int")
+    windows = [(1, "c", 3, 33), (2, "c", 32, 33), (3, "c", 50, 60), (1, "c", 70, 100), (4, "c", 0, longest)]
+    want = defaultdict(list)
+    for w, _, s, e in windows:
+        for p in at:
+            if s <= p < e:
+                want[w].append(p - s)
+    got = read.points_read(spark.createDataFrame(windows, "window_id long, chrom string, start long, end long"), points, 16).collect()
+    assert {(r.window_id, r.track_id): r.offsets for r in got} == {(w, t): sorted(v) for w, v in want.items() for t in (0, 1)}
+    assert len(got) == 2 * len(want)
