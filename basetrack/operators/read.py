@@ -90,15 +90,16 @@ def read_dense(windows: DataFrame, signal: DataFrame, chroms: DataFrame, channel
     length, tile = F.col("length"), min(tile, BASES)
     own = windows.join(F.broadcast(chroms.select("chrom", "length")), "chrom", "left")
     # every window is read to its width; what it stores lies within its own end and its chromosome (least passes over an unknown length)
-    whole = own.select("window_id", "chrom", "start", "length", F.when(length.isNotNull(), F.least("end", "length")).alias("stop"), F.greatest("end", F.col("start") + width).alias("end"))
+    start, most = F.col("start"), F.greatest("end", F.col("start") + width)
+    inside, stored = (F.when(length.isNotNull(), F.greatest(F.least(e, length) - start, F.lit(0))) for e in (most, F.col("end")))
+    whole = own.select("window_id", "chrom", "start", most.alias("end"), inside.alias("inside"), F.coalesce(stored, F.lit(0)).alias("stored"))
     some = touched(signal.join(F.broadcast(channels.select("track_id").distinct()), "track_id", "left_semi"), whole, tile)
     met = meet(whole, some, channels.select("channel", "track_id"), "track_id", tile)
     # what a base needs, once a part and channel, as offsets from the window's start
-    start = F.col("start")
-    each = met.select("window_id", "channel", "values", (start + F.col("shift")).cast("int").alias("shift"), length.isNotNull().alias("known"), (length - start).alias("inside"), F.coalesce(F.col("stop") - start, F.lit(0)).alias("stored"), F.explode_outer(F.sequence(F.col("lo") - start, F.col("hi") - 1 - start)).alias("offset"))
+    each = met.select("window_id", "channel", "values", (start + F.col("shift")).cast("int").alias("shift"), "inside", "stored", F.explode_outer(F.sequence(F.col("lo") - start, F.col("hi") - 1 - start)).alias("offset"))
     offset = F.col("offset")
     each = each.withColumn("value", F.when(offset < F.col("stored"), value_at(offset.cast("int")))).where((offset < width) | F.col("value").isNotNull())
-    return each.select("window_id", "channel", "offset", fill(F.col("value"), offset < F.col("inside"), F.col("known"), default, oob, keep_nan).alias("value"))
+    return each.select("window_id", "channel", "offset", fill(F.col("value"), offset < F.col("inside"), F.col("inside").isNotNull(), default, oob, keep_nan).alias("value"))
 
 
 def points_read(windows: DataFrame, points: DataFrame, tile: int = TILE) -> DataFrame:

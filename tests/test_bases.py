@@ -1,5 +1,6 @@
 """Reads by the places of bases in their tiles: nothing is shuffled by window, and odd windows are read whole."""
 
+import re
 from collections import defaultdict
 
 import pytest
@@ -77,6 +78,18 @@ def test_reads_of_missing_chromosomes_are_not_shuffled_by_window(spark):
     assert not by_window(spark, "window_missing_chrom_wide")
 
 
+def test_shuffled_windows_have_no_bounds_of_their_parts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = entrypoints.queries()["window_missing_chrom_wide"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = [plan[i + 1] for i, line in enumerate(plan[:-1]) if "Exchange hashpartitioning" in line and "window_id" in plan[i + 1]]
+    assert len(sent) == 1
+    assert not re.search(r" AS (lo|hi)#|\b(start|end|stop|lo|hi)#\d+L?, ", sent[0])
+
+
 @pytest.mark.parametrize("name", ["points_in_windows_wide", "points_in_windows"])
 def test_points_are_not_shuffled_by_window(spark, name):
     assert not by_window(spark, name)
