@@ -73,13 +73,11 @@ def tokens(column: pa.Array, net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarr
     w = tx.words(column)
     data = _LOWER[w.data]
     starts, ends = w.starts.copy(), w.ends.copy()
-    at = np.flatnonzero(ends - starts > 1)
     for _ in range(4):  # a few marks at either end
-        starts[at] += (before := _EDGE[data[starts[at]]])
-        more = ends[at] - starts[at] > 1
-        ends[at[more]] -= (after := _EDGE[data[ends[at[more]] - 1]])
-        before[more] |= after
-        at = at[before & (ends[at] - starts[at] > 1)]  # words that lost no mark lose none later
+        at = ends - starts > 1
+        starts[at] += _EDGE[data[starts[at]]]
+        at = ends - starts > 1
+        ends[at] -= _EDGE[data[ends[at] - 1]]
     pieces = -(-(ends - starts) // net.chars)
     word = np.repeat(np.arange(len(starts)), pieces)
     k = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -255,7 +253,12 @@ class Scorer:
         out = np.empty(len(s["at"]), np.float32)
         if not len(out):
             return out
-        x = np.concatenate([p["word"][s["bucket"]], word_ends(p, s["data"], s["lo"], s["hi"])], 1)
+        order = np.argsort(s["hi"] - s["lo"], kind="stable")
+        x = np.empty((len(order), net.word_dim + 2 * net.char_hidden), np.float32)
+        for i in range(0, len(order), 4096):
+            part = order[i : i + 4096]
+            x[part, net.word_dim :] = char_states(p, s["data"], s["lo"][part], s["hi"][part], net)[0]
+        x[:, : net.word_dim] = p["word"][s["bucket"]]
         inputs = x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]
         # windows that start at one token after another share their inputs: a step reads a slice of the tokens
         dense = (s["length"] == net.window) if net.stride == 1 else np.zeros(len(out), bool)
@@ -276,94 +279,65 @@ class Scorer:
         return out
 
 
-def _halved(x: np.ndarray) -> np.ndarray:
-    """Gate inputs for ``_step``."""
-    return x * np.repeat(np.array([0.5, 0.5, 1], np.float32), x.shape[1] // 3)
-
-
-def _cell(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The weights of ``_step`` from those of a layer."""
-    h = len(u)
-    return np.ascontiguousarray(_halved(u)[:, : 2 * h].T), np.ascontiguousarray(u[:, 2 * h :].T) * np.float32(0.5)
+#: Window starts of one sweep: its states stay in a core's cache.
+SWEEP_STARTS = 2048
 
 
-def _step(u: tuple[np.ndarray, np.ndarray], gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
-    """The state after one more input of every column, into ``out``; a and c are room for gates and candidates.
+class Sweep:
+    """Logits of full windows that start at consecutive tokens; units run down the rows and windows along the columns.
 
     A sigmoid is half of one and the tangent of half the angle; the halves are inside the weights.
     """
-    h, (u_zr, u_c) = len(c), u
-    if state is None:
-        np.tanh(gates[: 2 * h], out=a)
-        a += np.float32(1)  # twice the gates
-        np.tanh(gates[2 * h :], out=c)
-        c *= a[:h]
-        np.multiply(c, np.float32(0.5), out=out)
-        return
-    np.matmul(u_zr, state, out=a)
-    a += gates[: 2 * h]
-    np.tanh(a, out=a)
-    a += np.float32(1)
-    reset = a[h:]
-    reset *= state
-    np.matmul(u_c, reset, out=c)
-    c += gates[2 * h :]
-    np.tanh(c, out=c)
-    c -= state
-    c *= a[:h]
-    c *= np.float32(0.5)
-    np.add(state, c, out=out)
-
-
-def word_ends(p: dict, data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """End states of both directions over the characters of words, as ``char_states`` has them; words of one length go together."""
-    k = len(p["cuf"])
-    length, out = hi - lo, np.zeros((len(lo), 2 * k), np.float32)
-    sides = [(_cell(p[f"cu{x}"]), np.ascontiguousarray(_halved(p["char"] @ p[f"cw{x}"] + p[f"cb{x}"]).T)) for x in "fb"]
-    order = np.argsort(length, kind="stable")
-    cuts = np.searchsorted(length[order], np.arange(int(length.max(initial=0)) + 2))
-    for n in range(1, len(cuts) - 1):
-        for i in range(cuts[n], cuts[n + 1], 4096):
-            part = order[i : min(i + 4096, cuts[n + 1])]
-            chars = data[lo[part] + np.arange(n)[:, None]]
-            state, a, c = (np.empty((x, len(part)), np.float32) for x in (k, 2 * k, k))
-            for side, (u, gates) in enumerate(sides):
-                for j, row in enumerate(chars if side == 0 else chars[::-1]):
-                    _step(u, np.take(gates, row, axis=1), state if j else None, state, a, c)
-                out[part, side * k : (side + 1) * k] = state.T
-    return out
-
-
-#: Window starts of one sweep: its states stay in a core's cache.
-SWEEP_STARTS = 3072
-
-
-class Sweep:
-    """Logits of full windows that start at consecutive tokens; units run down the rows and windows along the columns."""
 
     def __init__(self, p: dict, inputs: tuple[np.ndarray, np.ndarray], window: int) -> None:
-        self.h, self.window = len(p["uf"]), window
-        self.gates = [np.ascontiguousarray(_halved(x)) for x in inputs]  # a word's gates are side by side
-        self.u = [_cell(p[k]) for k in ("uf", "ub")]
-        self.rooms: dict[int, tuple[np.ndarray, ...]] = {}
+        h = p["uf"].shape[0]
+        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
+        self.h, self.window = h, window
+        self.gates = [np.ascontiguousarray((x * half).T) for x in inputs]
+        self.u = [(np.ascontiguousarray((p[k] * half)[:, : 2 * h].T), np.ascontiguousarray(p[k][:, 2 * h :].T) * np.float32(0.5)) for k in ("uf", "ub")]
         # what attention and the output take from a state; the last column is the bias, for a row of ones
         self.read = np.ascontiguousarray(np.concatenate([np.concatenate([p["aw"], p["ow"]], 1), np.append(p["ab"], 0)[None, :]], 0).T.astype(np.float32))
         self.av, self.ob = np.ascontiguousarray(p["av"].T), p["ob"][0]
 
+    def _step(self, side: int, gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
+        """The state after one more word of every window, into ``out``; a and c are room for gates and candidates."""
+        h, (u_zr, u_c) = self.h, self.u[side]
+        if state is None:
+            np.tanh(gates[: 2 * h], out=a)
+            a += np.float32(1)  # twice the gates
+            np.tanh(gates[2 * h :], out=c)
+            c *= a[:h]
+            np.multiply(c, np.float32(0.5), out=out)
+            return
+        np.matmul(u_zr, state, out=a)
+        a += gates[: 2 * h]
+        np.tanh(a, out=a)
+        a += np.float32(1)
+        reset = a[h:]
+        reset *= state
+        np.matmul(u_c, reset, out=c)
+        c += gates[2 * h :]
+        np.tanh(c, out=c)
+        c -= state
+        c *= a[:h]
+        c *= np.float32(0.5)
+        np.add(state, c, out=out)
+
     def logits(self, which: np.ndarray, n: int) -> np.ndarray:
         h, t = self.h, self.window
-        if n not in self.rooms:
-            self.rooms = {n: (np.ones((t, 2 * h + 1, n), np.float32), np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((2 * h + 1, n), np.float32))}
-        states, a, c, seen = self.rooms[n]  # of each word those of both sides and a row of ones
-        for side, steps in enumerate((range(t), range(t - 1, -1, -1))):
-            gates = np.ascontiguousarray(np.take(self.gates[side], which, axis=0).T)
-            own, state = states[:, side * h : (side + 1) * h], None
-            for i in steps:
-                _step(self.u[side], gates[:, i : i + n], state, own[i], a, c)
-                state = own[i]
-        weight, value = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
+        forward = np.empty((t, h, n), np.float32)
+        a, c, seen = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((2 * h + 1, n), np.float32)
+        gates = np.take(self.gates[0], which, axis=1)
         for i in range(t):
-            np.matmul(self.read, states[i], out=seen)
+            self._step(0, gates[:, i : i + n], forward[i - 1] if i else None, forward[i], a, c)
+        gates = np.take(self.gates[1], which, axis=1)
+        weight, value = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
+        both = np.ones((2 * h + 1, n), np.float32)  # the states of a word and a row of ones
+        back = both[h : 2 * h]
+        for i in range(t - 1, -1, -1):
+            self._step(1, gates[:, i : i + n], back if i + 1 < t else None, back, a, c)
+            both[:h] = forward[i]
+            np.matmul(self.read, both, out=seen)
             value[i] = seen[2 * h]
             act = seen[: 2 * h]
             np.tanh(act, out=act)
