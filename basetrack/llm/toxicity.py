@@ -73,11 +73,12 @@ def tokens(column: pa.Array, net: Net) -> tuple[np.ndarray, np.ndarray, np.ndarr
     w = tx.words(column)
     data = _LOWER[w.data]
     starts, ends = w.starts.copy(), w.ends.copy()
-    for _ in range(4):  # a few marks at either end
-        at = ends - starts > 1
-        starts[at] += _EDGE[data[starts[at]]]
-        at = ends - starts > 1
-        ends[at] -= _EDGE[data[ends[at] - 1]]
+    left = right = np.arange(len(starts))
+    for _ in range(4):  # a few marks at either end; a word that keeps one keeps it from then on
+        left = left[(ends[left] - starts[left] > 1) & _EDGE[data[starts[left]]]]
+        starts[left] += 1
+        right = right[(ends[right] - starts[right] > 1) & _EDGE[data[ends[right] - 1]]]
+        ends[right] -= 1
     pieces = -(-(ends - starts) // net.chars)
     word = np.repeat(np.arange(len(starts)), pieces)
     k = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
@@ -253,11 +254,14 @@ class Scorer:
         out = np.empty(len(s["at"]), np.float32)
         if not len(out):
             return out
-        order = np.argsort(s["hi"] - s["lo"], kind="stable")
-        x = np.empty((len(order), net.word_dim + 2 * net.char_hidden), np.float32)
-        for i in range(0, len(order), 4096):
-            part = order[i : i + 4096]
-            x[part, net.word_dim :] = char_states(p, s["data"], s["lo"][part], s["hi"][part], net)[0]
+        x = np.empty((len(s["lo"]), net.word_dim + 2 * net.char_hidden), np.float32)
+        letters = Letters(p)
+        size = (s["hi"] - s["lo"]).astype(np.int16 if net.chars < 1 << 15 else np.int64)  # short numbers are sorted by their digits
+        order = np.argsort(size, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+            for i in range(0, len(own), SWEEP_STARTS):
+                part = own[i : i + SWEEP_STARTS]
+                x[part, net.word_dim :] = letters.ends(s["data"], s["lo"][part], int(size[own[0]]))
         x[:, : net.word_dim] = p["word"][s["bucket"]]
         inputs = x @ p["wf"] + p["bf"], x @ p["wb"] + p["bb"]
         # windows that start at one token after another share their inputs: a step reads a slice of the tokens
@@ -279,69 +283,139 @@ class Scorer:
         return out
 
 
-#: Window starts of one sweep: its states stay in a core's cache.
-SWEEP_STARTS = 2048
+#: Window starts of one sweep: a step's arrays stay in a core's cache, and a call takes little beside its work.
+SWEEP_STARTS = 3072
 
 
-class Sweep:
-    """Logits of full windows that start at consecutive tokens; units run down the rows and windows along the columns.
+def _tanh_is_wide() -> bool:
+    """Whether numpy takes tangents 16 at once (AVX-512); with AVX2 an exponential takes less than half of a tangent's time."""
+    try:
+        return "AVX512" in np.lib.introspect.opt_func_info(func_name="^tanh$", signature="float32")["tanh"]["ff"]["current"]
+    except (AttributeError, KeyError):
+        return False
+
+
+#: Gates by tangents or by exponentials; the states are the same within rounding.
+BY_TANH = _tanh_is_wide()
+
 
-    A sigmoid is half of one and the tangent of half the angle; the halves are inside the weights.
+_ONE, _TWO, _HALF = (np.array(x, np.float32) for x in (1, 2, 0.5))
+
+
+class Cell:
+    """A gated recurrent layer on columns: units run down the rows, sequences along the columns, and a step writes where it is told.
+
+    By tangents, a sigmoid is half of one and the tangent of half the angle; by exponentials, a gate is divided by instead.  The factors are inside the weights.
     """
 
+    def __init__(self, u: np.ndarray) -> None:
+        h = self.h = u.shape[0]
+        self.by_tanh = BY_TANH
+        self.scale = np.repeat(np.array([0.5, 0.5, 1] if self.by_tanh else [-1, -1, -2], np.float32), h)
+        u = u * self.scale
+        self.u_zr, self.u_c = np.ascontiguousarray(u[:, : 2 * h].T), np.ascontiguousarray(u[:, 2 * h :].T) * np.float32(0.5 if self.by_tanh else 1)
+
+    def room(self, a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Room for a step's gates, (2h, N), and candidates, (h, N)."""
+        return a, c, a[: self.h], a[self.h :]
+
+    def step(self, gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, room: tuple[np.ndarray, ...]) -> None:
+        """The state after one more input, into ``out``, which may be ``state``; gates: (3h, N) of the inputs, scaled; state: None is all zeros."""
+        a, c, update, reset = room
+        h2, curve = 2 * self.h, np.tanh if self.by_tanh else np.exp
+        if state is None:
+            curve(gates[:h2], a)
+            curve(gates[h2:], c)
+            np.add(a, _ONE, a)
+        else:
+            np.matmul(self.u_zr, state, a)
+            np.add(a, gates[:h2], a)
+            curve(a, a)
+            np.add(a, _ONE, a)  # by tangents twice the gates, by exponentials what to divide by
+            (np.multiply if self.by_tanh else np.divide)(state, reset, reset)
+            np.matmul(self.u_c, reset, c)
+            np.add(c, gates[h2:], c)
+            curve(c, c)
+        if self.by_tanh:
+            if state is not None:
+                np.subtract(c, state, c)
+            np.multiply(c, update, c)
+            np.multiply(c, _HALF, c if state is not None else out)
+        else:
+            np.add(c, _ONE, c)
+            np.divide(_TWO, c, c)
+            np.subtract(c, _ONE, c)
+            if state is not None:
+                np.subtract(c, state, c)
+            np.divide(c, update, c if state is not None else out)
+        if state is not None:
+            np.add(state, c, out)
+
+
+class Letters:
+    """End states of both directions over the letters of words of one length."""
+
+    def __init__(self, p: dict) -> None:
+        self.cells = Cell(p["cuf"]), Cell(p["cub"])
+        self.table = [(p["char"] @ p[w] + p[b]) * cell.scale for w, b, cell in (("cwf", "cbf", self.cells[0]), ("cwb", "cbb", self.cells[1]))]
+
+    def ends(self, data: np.ndarray, lo: np.ndarray, size: int) -> np.ndarray:
+        h = self.cells[0].h
+        room = self.cells[0].room(np.empty((2 * h, len(lo)), np.float32), np.empty((h, len(lo)), np.float32))
+        out = np.zeros((2 * h, len(lo)), np.float32)
+        with np.errstate(over="ignore"):
+            for cell, table, own, way in zip(self.cells, self.table, (out[:h], out[h:]), (range(size), range(size - 1, -1, -1)), strict=True):
+                state = None
+                for i in way:
+                    cell.step(np.ascontiguousarray(table[data[lo + i]].T), state, own, room)
+                    state = own
+        return out.T
+
+
+class Sweep:
+    """Logits of full windows that start at consecutive tokens; units run down the rows and windows along the columns."""
+
     def __init__(self, p: dict, inputs: tuple[np.ndarray, np.ndarray], window: int) -> None:
-        h = p["uf"].shape[0]
-        half = np.repeat(np.array([0.5, 0.5, 1], np.float32), h)
-        self.h, self.window = h, window
-        self.gates = [np.ascontiguousarray((x * half).T) for x in inputs]
-        self.u = [(np.ascontiguousarray((p[k] * half)[:, : 2 * h].T), np.ascontiguousarray(p[k][:, 2 * h :].T) * np.float32(0.5)) for k in ("uf", "ub")]
+        self.cells = Cell(p["uf"]), Cell(p["ub"])
+        self.h, self.window, self.kept = self.cells[0].h, window, np.empty(0, np.float32)
+        self.gates = [x * cell.scale for x, cell in zip(inputs, self.cells, strict=True)]
         # what attention and the output take from a state; the last column is the bias, for a row of ones
-        self.read = np.ascontiguousarray(np.concatenate([np.concatenate([p["aw"], p["ow"]], 1), np.append(p["ab"], 0)[None, :]], 0).T.astype(np.float32))
-        self.av, self.ob = np.ascontiguousarray(p["av"].T), p["ob"][0]
-
-    def _step(self, side: int, gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, a: np.ndarray, c: np.ndarray) -> None:
-        """The state after one more word of every window, into ``out``; a and c are room for gates and candidates."""
-        h, (u_zr, u_c) = self.h, self.u[side]
-        if state is None:
-            np.tanh(gates[: 2 * h], out=a)
-            a += np.float32(1)  # twice the gates
-            np.tanh(gates[2 * h :], out=c)
-            c *= a[:h]
-            np.multiply(c, np.float32(0.5), out=out)
-            return
-        np.matmul(u_zr, state, out=a)
-        a += gates[: 2 * h]
-        np.tanh(a, out=a)
-        a += np.float32(1)
-        reset = a[h:]
-        reset *= state
-        np.matmul(u_c, reset, out=c)
-        c += gates[2 * h :]
-        np.tanh(c, out=c)
-        c -= state
-        c *= a[:h]
-        c *= np.float32(0.5)
-        np.add(state, c, out=out)
+        read = np.concatenate([np.concatenate([p["aw"], p["ow"]], 1), np.append(p["ab"], 0)[None, :]], 0).T.astype(np.float32)
+        if not BY_TANH:
+            read[:-1] *= np.float32(2)  # weights' sum less twice the shares 1 / (1 + exp(2x)); the sum is the same for all words of a window
+        self.read = np.ascontiguousarray(read)
+        self.av, self.ob = np.ascontiguousarray(p["av"].T) * np.float32(1 if BY_TANH else -2), p["ob"][0]
+
+    def _room(self, *shapes: tuple[int, ...]) -> list[np.ndarray]:
+        """Arrays in room that is kept from sweep to sweep, as new pages cost time."""
+        sizes = [-(-int(np.prod(x)) // 16) * 16 for x in shapes]
+        if len(self.kept) < sum(sizes):
+            self.kept = np.empty(sum(sizes), np.float32)
+        ends = np.cumsum(sizes)
+        return [self.kept[e - k : e - k + int(np.prod(x))].reshape(x) for x, k, e in zip(shapes, sizes, ends, strict=True)]
 
     def logits(self, which: np.ndarray, n: int) -> np.ndarray:
         h, t = self.h, self.window
-        forward = np.empty((t, h, n), np.float32)
-        a, c, seen = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((2 * h + 1, n), np.float32)
-        gates = np.take(self.gates[0], which, axis=1)
-        for i in range(t):
-            self._step(0, gates[:, i : i + n], forward[i - 1] if i else None, forward[i], a, c)
-        gates = np.take(self.gates[1], which, axis=1)
-        weight, value = np.empty((t, n), np.float32), np.empty((t, n), np.float32)
-        both = np.ones((2 * h + 1, n), np.float32)  # the states of a word and a row of ones
-        back = both[h : 2 * h]
-        for i in range(t - 1, -1, -1):
-            self._step(1, gates[:, i : i + n], back if i + 1 < t else None, back, a, c)
-            both[:h] = forward[i]
-            np.matmul(self.read, both, out=seen)
-            value[i] = seen[2 * h]
-            act = seen[: 2 * h]
-            np.tanh(act, out=act)
-            np.matmul(self.av, act, out=weight[i : i + 1])
+        forward, a, c, seen, weight, value, both = self._room((t, h, n), (2 * h, n), (h, n), (2 * h + 1, n), (t, n), (t, n), (2 * h + 1, n))
+        room = self.cells[0].room(a, c)
+        gates = np.ascontiguousarray(self.gates[0][which].T)
+        with np.errstate(over="ignore"):
+            for i in range(t):
+                self.cells[0].step(gates[:, i : i + n], forward[i - 1] if i else None, forward[i], room)
+            gates = np.ascontiguousarray(self.gates[1][which].T)
+            ahead, back, act, both[2 * h] = both[:h], both[h : 2 * h], seen[: 2 * h], 1  # both: the states of a word and a row of ones
+            for i in range(t - 1, -1, -1):
+                self.cells[1].step(gates[:, i : i + n], back if i + 1 < t else None, back, room)
+                np.copyto(ahead, forward[i])
+                np.matmul(self.read, both, seen)
+                np.copyto(value[i], seen[2 * h])
+                if BY_TANH:
+                    np.tanh(act, act)
+                else:
+                    np.exp(act, act)
+                    np.add(act, _ONE, act)
+                    np.divide(_ONE, act, act)
+                np.matmul(self.av, act, weight[i : i + 1])
         weight -= weight.max(0)
         np.exp(weight, out=weight)
         value *= weight

@@ -223,3 +223,37 @@ def test_all_windows_equal_plain_loops(monkeypatch, starts):
     x = np.concatenate([p["word"][s["bucket"]], ends], 1)[s["which"]]
     want = [plain_logit(p, x[a : a + n]) for a, n in zip(s["at"], s["length"], strict=True)]
     assert len(want) == 1 + 25 + 1 + 4 and np.allclose(got, want, atol=1e-4)
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_windows_by_tangents_and_by_exponentials(monkeypatch, wide):
+    """Where tangents are slow, whole windows and letters take none of them; both ways equal plain loops, also where gates are far out."""
+    monkeypatch.setattr(toxicity, "BY_TANH", wide)
+    net = toxicity.Net(window=6)
+    g = np.random.default_rng(5)
+    p = {k: v + g.standard_normal(v.shape).astype(np.float32) * np.float32(0.3) for k, v in toxicity.start(net).items()} | {"word": g.standard_normal((1, net.word_dim)).astype(np.float32)}
+    p["bf"][:3], p["cbb"][3:6] = (200, -200, 50), (-150, 150, 80)
+    scorer = toxicity.Scorer(p, net)
+    s = scorer.prepare(pa.array([" ".join(f"w{i % 9}{'x' * (i % 17)}" for i in range(40)), "é ö ü ß a b c d"]))
+    ends, _ = toxicity.char_states(p, s["data"], s["lo"], s["hi"], net)
+    x = np.concatenate([p["word"][s["bucket"]], ends], 1)[s["which"]]
+    with np.errstate(over="ignore"):
+        want = [plain_logit(p, x[a : a + n]) for a, n in zip(s["at"], s["length"], strict=True)]
+    took, tanh = [], np.tanh
+    monkeypatch.setattr(np, "tanh", lambda *a, **k: took.append(1) or tanh(*a, **k))
+    with np.errstate(all="raise", under="ignore"):
+        got = scorer.logits(s)
+    assert bool(took) == wide and (s["length"] == 6).all() and np.allclose(got, want, atol=1e-4)
+
+
+def test_marks_at_the_ends_of_words():
+    words = ["((((((deep))))))", "..", ".", "'a'", "-x", "y!?", "[[[[]]]]", "a.b", "(q", "Q)", '"Said,"', "....z"]
+    data, lo, hi, bounds = toxicity.tokens(pa.array([" ".join(words), "", "..."]), toxicity.Net())
+
+    def plain(w):
+        for _ in range(4):
+            w = w[1:] if len(w) > 1 and not w[0].isalnum() else w
+            w = w[:-1] if len(w) > 1 and not w[-1].isalnum() else w
+        return w.lower()
+
+    assert [bytes(data[a:b]).decode() for a, b in zip(lo, hi, strict=True)] == [plain(w) for w in [*words, "..."]] and bounds.tolist() == [0, len(words), len(words), len(words) + 1]
