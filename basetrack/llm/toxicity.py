@@ -284,7 +284,7 @@ class Scorer:
 
 
 #: Window starts of one sweep: a step's arrays stay in a core's cache, and a call takes little beside its work.
-SWEEP_STARTS = 3072
+SWEEP_STARTS = 3025
 
 
 def _tanh_is_wide() -> bool:
@@ -319,22 +319,22 @@ class Cell:
         """Room for a step's gates, (2h, N), and candidates, (h, N)."""
         return a, c, a[: self.h], a[self.h :]
 
-    def step(self, gates: np.ndarray, state: np.ndarray | None, out: np.ndarray, room: tuple[np.ndarray, ...]) -> None:
-        """The state after one more input, into ``out``, which may be ``state``; gates: (3h, N) of the inputs, scaled; state: None is all zeros."""
+    def step(self, gates: np.ndarray, own: np.ndarray, state: np.ndarray | None, out: np.ndarray, room: tuple[np.ndarray, ...]) -> None:
+        """The state after one more input, into ``out``, which may be ``state``; gates, (2h, N), and own, (h, N), the candidate's: of the inputs, scaled; state: None is all zeros."""
         a, c, update, reset = room
-        h2, curve = 2 * self.h, np.tanh if self.by_tanh else np.exp
+        curve = np.tanh if self.by_tanh else np.exp
         if state is None:
-            curve(gates[:h2], a)
-            curve(gates[h2:], c)
+            curve(gates, a)
+            curve(own, c)
             np.add(a, _ONE, a)
         else:
             np.matmul(self.u_zr, state, a)
-            np.add(a, gates[:h2], a)
+            np.add(a, gates, a)
             curve(a, a)
             np.add(a, _ONE, a)  # by tangents twice the gates, by exponentials what to divide by
             (np.multiply if self.by_tanh else np.divide)(state, reset, reset)
             np.matmul(self.u_c, reset, c)
-            np.add(c, gates[h2:], c)
+            np.add(c, own, c)
             curve(c, c)
         if self.by_tanh:
             if state is not None:
@@ -352,6 +352,12 @@ class Cell:
             np.add(state, c, out)
 
 
+def _lines(n: int) -> np.ndarray:
+    """n numbers that begin with a cache line of 64 bytes."""
+    out = np.empty(n + 16, np.float32)
+    return out[-(out.ctypes.data // 4) % 16 :][:n]
+
+
 class Letters:
     """End states of both directions over the letters of words of one length."""
 
@@ -367,7 +373,8 @@ class Letters:
             for cell, table, own, way in zip(self.cells, self.table, (out[:h], out[h:]), (range(size), range(size - 1, -1, -1)), strict=True):
                 state = None
                 for i in way:
-                    cell.step(np.ascontiguousarray(table[data[lo + i]].T), state, own, room)
+                    gates = np.ascontiguousarray(table[data[lo + i]].T)
+                    cell.step(gates[: 2 * h], gates[2 * h :], state, own, room)
                     state = own
         return out.T
 
@@ -387,25 +394,33 @@ class Sweep:
         self.av, self.ob = np.ascontiguousarray(p["av"].T) * np.float32(1 if BY_TANH else -2), p["ob"][0]
 
     def _room(self, *shapes: tuple[int, ...]) -> list[np.ndarray]:
-        """Arrays in room that is kept from sweep to sweep, as new pages cost time."""
+        """Arrays that begin with a cache line, in room that is kept from sweep to sweep, as new pages cost time."""
         sizes = [-(-int(np.prod(x)) // 16) * 16 for x in shapes]
         if len(self.kept) < sum(sizes):
-            self.kept = np.empty(sum(sizes), np.float32)
+            self.kept = _lines(sum(sizes))
         ends = np.cumsum(sizes)
         return [self.kept[e - k : e - k + int(np.prod(x))].reshape(x) for x, k, e in zip(shapes, sizes, ends, strict=True)]
 
+    def _gates(self, side: int, which: np.ndarray, flat: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The gates' and the candidates' inputs by place in the window, as one run of ``flat`` each: a column that has no such word sees another row's, and is no window's."""
+        h, n = self.h, len(which)
+        np.copyto(flat[: 3 * h * n].reshape(3 * h, n), self.gates[side][which].T)
+        flat[3 * h * n :] = 0
+        return [(flat[i : i + 2 * h * n].reshape(2 * h, n), flat[i + 2 * h * n : i + 3 * h * n].reshape(h, n)) for i in range(self.window)]
+
     def logits(self, which: np.ndarray, n: int) -> np.ndarray:
-        h, t = self.h, self.window
-        forward, a, c, seen, weight, value, both = self._room((t, h, n), (2 * h, n), (h, n), (2 * h + 1, n), (t, n), (t, n), (2 * h + 1, n))
+        h, t, asked = self.h, self.window, n
+        n = (-(-len(which) // 16) | 1) * 16  # a column a word; rows begin with a cache line each, and not all with one that falls on the same place of the cache
+        which = np.concatenate([which, np.full(n - len(which), which[-1])])
+        forward, a, c, seen, weight, value, both, flat = self._room((t, h, n), (2 * h, n), (h, n), (2 * h + 1, n), (t, n), (t, n), (2 * h + 1, n), (3 * h * n + t,))
         room = self.cells[0].room(a, c)
-        gates = np.ascontiguousarray(self.gates[0][which].T)
         with np.errstate(over="ignore"):
-            for i in range(t):
-                self.cells[0].step(gates[:, i : i + n], forward[i - 1] if i else None, forward[i], room)
-            gates = np.ascontiguousarray(self.gates[1][which].T)
+            for i, gates in enumerate(self._gates(0, which, flat)):
+                self.cells[0].step(*gates, forward[i - 1] if i else None, forward[i], room)
+            gates = self._gates(1, which, flat)
             ahead, back, act, both[2 * h] = both[:h], both[h : 2 * h], seen[: 2 * h], 1  # both: the states of a word and a row of ones
             for i in range(t - 1, -1, -1):
-                self.cells[1].step(gates[:, i : i + n], back if i + 1 < t else None, back, room)
+                self.cells[1].step(*gates[i], back if i + 1 < t else None, back, room)
                 np.copyto(ahead, forward[i])
                 np.matmul(self.read, both, seen)
                 np.copyto(value[i], seen[2 * h])
@@ -419,7 +434,7 @@ class Sweep:
         weight -= weight.max(0)
         np.exp(weight, out=weight)
         value *= weight
-        return value.sum(0) / weight.sum(0) + self.ob
+        return (value.sum(0) / weight.sum(0) + self.ob)[:asked]
 
 
 class Adam:

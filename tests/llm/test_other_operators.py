@@ -257,3 +257,17 @@ def test_marks_at_the_ends_of_words():
         return w.lower()
 
     assert [bytes(data[a:b]).decode() for a, b in zip(lo, hi, strict=True)] == [plain(w) for w in [*words, "..."]] and bounds.tolist() == [0, len(words), len(words), len(words) + 1]
+
+
+def test_gates_of_a_place_are_one_run():
+    """Each place's gates are read as one run of numbers, and every whole window finds its word there."""
+    net = toxicity.Net(window=4)
+    p = toxicity.start(net)
+    g = np.random.default_rng(6)
+    inputs = tuple(g.standard_normal((9, 3 * net.hidden)).astype(np.float32) for _ in range(2))
+    sweep, which = toxicity.Sweep(p, inputs, net.window), g.integers(0, 9, 48)
+    places = sweep._gates(1, which, np.empty(3 * net.hidden * 48 + net.window, np.float32))
+    assert len(places) == net.window and all(x.flags.c_contiguous for pair in places for x in pair)
+    want = sweep.gates[1][which].T
+    for i, pair in enumerate(places):
+        assert (np.concatenate(pair)[:, : 48 - i] == want[:, i:]).all()
